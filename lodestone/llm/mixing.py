@@ -4,7 +4,8 @@ Sources take turns in weights 1, 2, 3, ... and share the corpus by them, no sour
 (what it cannot use is shared again by weight: water filling). A document of a source whose target is f times its size
 enters ``floor(f)`` times for certain; the fraction is filled by Pareto order sampling: documents are ranked by
 (u / (1 - u)) / (p / (1 - p)), u being a hash of the id and p = f - floor(f) the inclusion probability, and the lowest
-ranks enter until the rest of the target, counted in words, is met as closely as whole documents allow.
+ranks enter while they fit the rest of the target, counted in words; of the next ``LOOKAHEAD`` ranks one more document
+enters, that whose size best fills the gap.
 
 No source is ordered as a whole: a histogram of ranks finds the cell that the cut falls in, a second one a cell within
 it, and only that cell is put in order, so a source with a third of all rows costs one pass of partial sums.
@@ -26,6 +27,8 @@ from lodestone.llm import text as T
 from lodestone.llm.frames import cut, map_batches
 
 CELLS = 4096
+#: Ranks behind the cut among which the last document of a source is chosen.
+LOOKAHEAD = 64
 
 
 def word_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -103,19 +106,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     last = within.join(second, "k").filter(F.col("fine") == F.col("cut2")).withColumn("room2", F.col("room1") - F.col("ahead2"))
     order = Window.partitionBy("k").orderBy("rank", "doc_id", "size")
     upto = last.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # the document that the cut falls in enters if that brings the sum nearer to the target
+    # all that fit before the cut enter; then the one of the next ranks whose size best fills what is left
+    fits = F.col("upto") <= F.col("room2")
     edge = upto.groupBy("k").agg(
-        F.max(F.when(F.col("upto") - F.col("size") / 2.0 <= F.col("room2"), F.struct("rank", "doc_id", "size"))).alias("edge"),
+        F.max(F.when(fits, F.struct("rank", "doc_id", "size"))).alias("edge"),
+        (F.first("room2") - F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0))).alias("gap"),
     )
-    cuts = first.join(second, "k").join(edge, "k", "left")
+    cuts = first.join(second, "k").join(edge, "k")
     rows = rows.withColumn("k", key).join(cuts.withColumnRenamed("k", "ck"), F.col("k") == F.col("ck"), "left")
     this = F.struct("rank", "doc_id", "size")
     enters = (
-        F.when(F.col("p") <= 0, False)
-        .when(F.col("cut1").isNull(), F.col("room") > 0)
+        F.when((F.col("p") <= 0) | F.col("cut1").isNull(), False)
         .when(F.col("cell") != F.col("cut1"), F.col("cell") < F.col("cut1"))
         .when(F.col("fine") != F.col("cut2"), F.col("fine") < F.col("cut2"))
         .otherwise(F.coalesce(this <= F.col("edge"), F.lit(False)))
     )
-    copies = (F.col("whole") + F.coalesce(enters, F.lit(False)).cast("long")).cast("long")
+    rows = rows.withColumn("enters", F.coalesce(enters, F.lit(False)))
+    after = F.row_number().over(Window.partitionBy("k").orderBy("rank", "doc_id", "size"))
+    following = rows.filter(~F.col("enters") & F.col("gap").isNotNull()).select("k", "rank", "doc_id", "size", "gap").withColumn("after", after).filter(F.col("after") <= LOOKAHEAD)
+    miss = F.abs(F.col("gap") - F.col("size"))
+    filler = following.groupBy("k").agg(F.min_by(this, F.struct(miss, "after")).alias("last"), F.min(miss).alias("miss"), F.first("gap").alias("g")).filter(F.col("miss") < F.col("g"))
+    rows = rows.join(filler.select(F.col("k").alias("fk"), "last"), F.col("k") == F.col("fk"), "left")
+    enters = F.col("enters") | F.coalesce((F.col("p") > 0) & (this == F.col("last")), F.lit(False))
+    copies = (F.col("whole") + enters.cast("long")).cast("long")
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
