@@ -126,11 +126,12 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: int, most: int) -> DataFrame:
-    """(doc_id, text, label, place) of at most ``most`` labelled rows outside the fold, the first by a hash of the id. The ids are at most that many, so they are broadcast."""
+    """(doc_id, text, lang, label, place) of at most ``most`` labelled rows outside the fold, the first by a hash of the id. The ids are at most that many, so they are broadcast."""
     learn = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     learn = learn.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
     learn = learn.withColumn("place", F.xxhash64("doc_id", F.lit(5))).orderBy("place").limit(most)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(learn), "doc_id")
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang")).join(F.broadcast(learn), "doc_id")
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, label_col: str = "quality") -> np.ndarray:
