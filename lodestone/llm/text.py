@@ -75,8 +75,13 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each word, the same wherever the word stands."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
+    return span_hashes(buf, starts, [ends])[0]
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, all_ends: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of spans that begin at ``starts``, for each array of ends; the first array holds the largest ends."""
+    out = [np.empty(len(starts), np.uint64) for _ in all_ends]
+    ends, at = all_ends[0], 0
     while at < len(starts):
         base = int(starts[at])
         stop = max(int(np.searchsorted(ends, base + SLICE_BYTES, side="right")), at + 1)
@@ -84,8 +89,11 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         part = buf[base : ends[stop - 1]]
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_BYTE_CODE[part] * power[: len(part)], out=total[1:])
-        s, e = starts[at:stop] - base, ends[at:stop] - base
-        out[at:stop] = mix64((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+        s = starts[at:stop] - base
+        before, back = total[s], inverse[s]
+        for hashes, some in zip(out, all_ends, strict=True):
+            e = some[at:stop] - base
+            hashes[at:stop] = mix64((total[e] - before) * back + (e - s).astype(np.uint64))
         at = stop
     return out
 

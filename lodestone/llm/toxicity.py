@@ -1,14 +1,15 @@
 """Toxicity classifier: a convolutional network on hashed word embeddings, trained in numpy.
 
-A word (small letters, signs at its ends stripped) is hashed to one of ``VOCAB`` embeddings of ``DIM`` numbers. Filters of
-each width in ``WIDTHS`` slide over the words, the largest value of each filter in the text is kept (max pooling over the
-whole text) and a logistic layer gives the score. One embedding coordinate starts from the log odds of the word among
-the labelled texts, the others at random. Scores are shifted so that the best cut on labelled rows kept aside lies at
+A word (small letters, signs at its ends stripped) and its beginnings of the lengths in ``STEMS`` (in bytes) are hashed,
+and the embedding of the word is the sum of theirs, so that endings not seen before keep the meaning of a stem. Of the
+hashes that at least two labelled texts hold, the ``ROWS`` that part the classes best have an embedding of ``DIM``
+numbers, all others count zero. Filters of each width in ``WIDTHS`` slide over the words, the largest value of each
+filter in the text is kept (max pooling over the whole text) and a logistic layer gives the score. One embedding
+coordinate starts from the log odds of the hash among the labelled texts, the others at random. Scores are shifted so that the best cut on labelled rows kept aside lies at
 0.7; for decisions a threshold for each language is calibrated on those rows too (``lang`` is not seen by the score).
 
 Learning reads at most ``MAX_LABELLED`` labelled rows and ``MAX_BYTES`` of their text, the first by a hash of their id,
-in one task; the model is a few megabytes of fixed size. Scoring reads every whole text; since a filter's response to a
-word is a table look-up, no text is multiplied by anything.
+in one task; the model has a fixed size of a few megabytes. Scoring reads every whole text.
 
 Defined cases: null and empty texts have no words and get the score of empty pools; null ids are never held out; null
 labels take no part, of several labels of an id the largest holds; with no labels or one class only every score is the
@@ -30,16 +31,21 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from lodestone.llm import text as T
 from lodestone.llm.quality import best_cut, held_out, labelled
 
-VOCAB = 1 << 16
-DIM = 12
+BITS = 22
+CHECK_BITS = 8
+STEMS = (4, 5, 6)
+ROWS = 1 << 15
+DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 6
 EPOCHS = 6
+#: Small sets of labels are gone over more often, up to this many updates (and five times the epochs).
+STEPS = 1200
 BATCH = 48
 RATE = 0.05
 CUT = 0.7
 MAX_LABELLED = 12_000
-MAX_BYTES = 96 << 20
+MAX_BYTES = 48 << 20
 #: Rows kept aside of a language and class that its own threshold needs.
 LEAST = 20
 
@@ -47,8 +53,8 @@ _SIGN = np.zeros(256, dtype=bool)
 _SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
-def word_ids(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Embedding number of each word, and for each row boundary the number of words before it."""
+def word_codes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of hash codes of each word (its own and its stems'), and for each row boundary the number of words before it."""
     starts, ends, bounds = T.word_spans(buf, off)
     starts, ends = starts.copy(), ends.copy()
     live = np.arange(len(starts))
@@ -57,8 +63,9 @@ def word_ids(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     live = np.arange(len(starts))
     while len(live := live[(ends[live] - starts[live] > 1) & _SIGN[buf[starts[live]]]]):
         starts[live] += 1
-    # spans shrink but stay in order, as word_hashes asks
-    return (T.word_hashes(buf, starts, ends) >> np.uint64(48)).astype(np.int32), bounds
+    hashes = T.span_hashes(buf, starts, [ends, *(np.minimum(ends, starts + k) for k in STEMS)])
+    codes = [((h ^ np.uint64(i << 50)) >> np.uint64(64 - BITS - CHECK_BITS)).astype(np.int32) for i, h in enumerate(hashes)]
+    return np.stack(codes, axis=1), bounds
 
 
 def lowered(column: pa.Array) -> pa.Array:
@@ -68,7 +75,9 @@ def lowered(column: pa.Array) -> pa.Array:
 class Network:
     def __init__(self, seed: int = 3) -> None:
         r = np.random.default_rng(seed)
-        self.E = r.normal(0, 0.1, (VOCAB, DIM)).astype(np.float32)
+        self.codes = np.zeros(0, np.int32)
+        self.E = np.zeros((1, DIM), np.float32)
+        self.random = r
         self.W = {w: r.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
         for w in WIDTHS:
             self.W[w][:, 0, :] = np.abs(self.W[w][:, 0, :]) + 0.3
@@ -79,7 +88,7 @@ class Network:
         self.thresholds: dict[str, float] = {}
 
     def pack(self) -> bytes:
-        names = {"E": self.E, "out": self.out, "rest": np.array([self.bias, self.scale, self.shift])}
+        names = {"codes": self.codes, "E": self.E, "out": self.out, "rest": np.array([self.bias, self.scale, self.shift])}
         names |= {f"W{w}": self.W[w] for w in WIDTHS} | {f"b{w}": self.b[w] for w in WIDTHS}
         names |= {"langs": np.array(list(self.thresholds), dtype="U32"), "cuts": np.array(list(self.thresholds.values()))}
         np.savez(to := io.BytesIO(), **names)
@@ -88,13 +97,24 @@ class Network:
     @classmethod
     def unpack(cls, packed: bytes) -> Network:
         net, x = cls.__new__(cls), np.load(io.BytesIO(packed))
-        net.E, net.out = x["E"], x["out"]
+        net.codes, net.E, net.out = x["codes"], x["E"], x["out"]
         net.bias, net.scale, net.shift = (float(v) for v in x["rest"])
         net.W, net.b = ({w: x[f"{k}{w}"] for w in WIDTHS} for k in "Wb")
         net.thresholds = dict(zip(x["langs"].tolist(), x["cuts"].tolist(), strict=True))
-        net.tables = {w: [net.E @ net.W[w][i] for i in range(w)] for w in WIDTHS}
+        net.index()
         return net
 
+    def index(self) -> None:
+        """Row 0 of E stays zero; code i has row i + 1."""
+        self.row = np.zeros(1 << BITS, np.int32)
+        self.row[self.codes >> CHECK_BITS] = np.arange(1, len(self.codes) + 1)
+        self.check = np.concatenate(([-1], self.codes & ((1 << CHECK_BITS) - 1))).astype(np.int32)
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        found = self.row[codes >> CHECK_BITS]
+        found[self.check[found] != (codes & ((1 << CHECK_BITS) - 1))] = 0
+        return found
+
     def _pool(self, response: np.ndarray, bounds: np.ndarray, width: int) -> np.ndarray:
         """Largest response of each filter in each row; 0 where a row has fewer words than the filter is wide."""
         n = len(bounds) - 1
@@ -110,40 +130,59 @@ class Network:
             pooled[full] = np.maximum(np.maximum.reduceat(response, bounds[full], axis=0), 0)
         return pooled
 
-    def logits(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def logits(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        rows = self.rows(codes)
+        x = self.E[rows[:, 0]]
+        for i in range(1, rows.shape[1]):
+            x += self.E[rows[:, i]]
         pools = []
         for w in WIDTHS:
-            n = len(ids) - w + 1
+            n = len(x) - w + 1
             response = np.zeros((0, FILTERS), np.float32)
             if n > 0:
-                response = self.tables[w][0][ids[:n]]
+                response = x[:n] @ self.W[w][0]
                 for i in range(1, w):
-                    response += self.tables[w][i][ids[i : i + n]]
+                    response += x[i : i + n] @ self.W[w][i]
                 response += self.b[w]
             pools.append(self._pool(response, bounds, w))
         return np.concatenate(pools, axis=1) @ self.out + self.bias
 
+    def _vocabulary(self, texts: list[np.ndarray], label: np.ndarray) -> None:
+        """Choose the codes with a row, and start one coordinate at their log odds."""
+        total = {y: max(int(np.sum(label == y)), 1) for y in (0, 1)}
+        kept = [np.unique(t) for t in texts]
+        codes, where = np.unique(np.concatenate(kept), return_inverse=True)
+        y = np.repeat(label, [len(k) for k in kept])
+        held = {1: np.bincount(where, y, len(codes)), 0: np.bincount(where, 1 - y, len(codes))}
+        odds = np.log((held[1] + 0.5) / total[1]) - np.log((held[0] + 0.5) / total[0])
+        odds[held[0] + held[1] < 2] = 0
+        best = np.argsort(-np.abs(odds), kind="stable")[:ROWS]
+        best = best[odds[best] != 0]
+        best = best[np.unique(codes[best] >> CHECK_BITS, return_index=True)[1]]
+        self.codes = codes[best]
+        self.E = self.random.normal(0, 0.05, (len(best) + 1, DIM)).astype(np.float32)
+        self.E[1:, 0] = np.clip(odds[best], -3, 3) * 0.25
+        self.E[0] = 0
+        self.index()
+
     def fit(self, texts: list[np.ndarray], label: np.ndarray) -> None:
         share = float(label.mean())
-        held = {y: np.full(VOCAB, 0.5) for y in (0, 1)}
-        for ids, y in zip(texts, label.tolist(), strict=True):
-            held[y][np.unique(ids)] += 1
-        rate = {y: held[y] / (np.sum(label == y) + 1) for y in (0, 1)}
-        sure = np.minimum(held[0] + held[1] - 1, 4) / 4
-        self.E[:, 0] = np.clip(np.log(rate[1] / rate[0]) * sure, -2, 2) * 0.5
-        squares = {k: np.full_like(v, 1e-6) for k, v in (("E", self.E), ("out", self.out))}
-        squares |= {f"W{w}": np.full_like(self.W[w], 1e-6) for w in WIDTHS} | {f"b{w}": np.full_like(self.b[w], 1e-6) for w in WIDTHS}
+        self._vocabulary(texts, label)
+        texts = [self.rows(t) for t in texts]
+        squares = {k: np.full_like(v, 1e-2) for k, v in (("E", self.E), ("out", self.out))}
+        squares |= {f"W{w}": np.full_like(self.W[w], 1e-2) for w in WIDTHS} | {f"b{w}": np.full_like(self.b[w], 1e-2) for w in WIDTHS}
         order = np.random.default_rng(11)
-        for _ in range(EPOCHS):
+        epochs = int(np.clip(STEPS * BATCH / max(len(texts), 1), EPOCHS, 5 * EPOCHS))
+        for _ in range(epochs):
             for part in np.array_split(order.permutation(len(texts)), max(1, len(texts) // BATCH)):
                 self._step([texts[i] for i in part], label[part], share, squares)
 
     def _step(self, texts: list[np.ndarray], label: np.ndarray, share: float, squares: dict[str, np.ndarray]) -> None:
         pooled = np.zeros((len(texts), len(WIDTHS) * FILTERS), np.float32)
         where = np.zeros((len(texts), len(WIDTHS) * FILTERS), np.int64)
-        ids = np.concatenate(texts) if texts else np.zeros(0, np.int32)
+        ids = np.concatenate(texts)
         begin = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-        x = self.E[ids]
+        x = self.E[ids].sum(axis=1)
         for k, w in enumerate(WIDTHS):
             n = len(ids) - w + 1
             if n <= 0:
@@ -177,19 +216,21 @@ class Network:
             for i in range(w):
                 e = x[at + i]
                 dw[i] = np.einsum("rf,rfd->df", g, e)
-                rows.append(ids[at + i].ravel())
+                rows.append(ids[at + i].reshape(-1, ids.shape[1]))
                 grads.append((g[:, :, None] * self.W[w][i].T[None]).reshape(-1, DIM))
             move(f"W{w}", self.W[w], dw)
             move(f"b{w}", self.b[w], g.sum(axis=0))
         if rows:
-            touched, place = np.unique(np.concatenate(rows), return_inverse=True)
+            hit = np.concatenate(rows)
+            touched, place = np.unique(hit.ravel(), return_inverse=True)
             g = np.zeros((len(touched), DIM), np.float32)
-            np.add.at(g, place, np.concatenate(grads))
+            np.add.at(g, place, np.repeat(np.concatenate(grads), hit.shape[1], axis=0))
+            g[touched == 0] = 0
             squares["E"][touched] += g * g
             self.E[touched] -= RATE * g / np.sqrt(squares["E"][touched])
 
-    def score(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(ids, bounds) * self.scale + self.shift, -35, 35)))
+    def score(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(codes, bounds) * self.scale + self.shift, -35, 35)))
 
 
 def train(texts: list[np.ndarray], label: np.ndarray, aside: np.ndarray, lang: np.ndarray) -> bytes:
@@ -227,8 +268,8 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, lab
                 left -= len(buf)
                 if left < 0:
                     break
-                ids, bounds = word_ids(buf, off)
-                texts += [ids[bounds[i] : bounds[i + 1]] for i in range(end - row)]
+                codes, bounds = word_codes(buf, off)
+                texts += [codes[bounds[i] : bounds[i + 1]] for i in range(end - row)]
                 label += ys[row:end]
                 aside += [p % 5 == 0 for p in places[row:end]]
                 lang += names[row:end]
@@ -257,7 +298,7 @@ def _scored(rows: DataFrame, packed: bytes, keep: list[str], name: str) -> DataF
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for row, end, buf, off in T.text_slices(lowered(batch.column(at))):
-                out[row:end] = net.score(*word_ids(buf, off))
+                out[row:end] = net.score(*word_codes(buf, off))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(out)], [*keep, name])
 
     return rows.mapInArrow(over, StructType([*(rows.schema[i] for i in kept), StructField(name, DoubleType())]))
