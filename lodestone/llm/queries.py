@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import mixing, quality, toxicity, warc
+from lodestone.llm import mixing, quality, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pareto_mix, op4_warc, op5_quality_ftrl, op9_toxicity_cnn)}
+def op7_token_pfor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_files(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pareto_mix, op4_warc, op5_quality_ftrl, op7_token_pfor, op9_toxicity_cnn)}
 
 ORACLES: dict[str, str] = {}
