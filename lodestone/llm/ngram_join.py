@@ -138,12 +138,6 @@ def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(over, "doc long, n long, f1 long, f2 long, tiles array<long>, bits binary")
 
 
-def _within_bound(percent: int) -> F.Column:
-    """Sizes and bitmaps of a pair (na, bits_a, nb, bits_b) leave it possible."""
-    differ = F.expr(" + ".join(f"bit_count(conv(hex(substr(bits_a, {i}, 8)), 16, -10) ^ 0)" for i in (1,)))
-    raise NotImplementedError(differ, percent)
-
-
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the rows (a, na, bits_a, b, nb, bits_b) that sizes and bitmaps leave possible."""
 
