@@ -27,12 +27,12 @@ def _compatible() -> dict[str, str]:
 
 
 def normalize(text: Column) -> Column:
-    """Compatibility forms of single characters, then small letters. Only rows that hold such a character take the slow branch."""
+    """Compatibility forms of single characters, then small letters. Only rows with a character in one of a few ranges around those take the slow branch."""
     known = _compatible()
     codes = sorted(map(ord, known))
     runs: list[list[int]] = []
     for c in codes:
-        if runs and c == runs[-1][1] + 1:
+        if runs and c <= runs[-1][1] + 100:
             runs[-1][1] = c
         else:
             runs.append([c, c])
@@ -40,7 +40,7 @@ def normalize(text: Column) -> Column:
     keys, forms = (F.split(F.lit("\n".join(x)), "\n") for x in (known.keys(), known.values()))
     table = F.map_from_arrays(keys, forms)
     mapped = F.array_join(F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
-    return F.lower(F.when(text.rlike(found), mapped).otherwise(text))
+    return F.lower(F.when((F.octet_length(text) > F.length(text)) & text.rlike(found), mapped).otherwise(text))
 
 
 def tokens_of(lowered: Column) -> Column:

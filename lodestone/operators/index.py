@@ -14,11 +14,11 @@ def tokens(docs: DataFrame, id_col: str = "int_id", text_col: str = "content") -
 
 
 def postings(toks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(int_id, term, tf, positions); with terms only theirs, so that other tokens are never shuffled."""
-    rows = toks.select("int_id", F.posexplode("tokens").alias("pos", "term"))
+    """(int_id, term, tf, positions, doc_len); with terms only theirs, so that other tokens are never shuffled."""
+    rows = toks.select("int_id", F.size("tokens").cast("long").alias("doc_len"), F.posexplode("tokens").alias("pos", "term"))
     if terms is not None:
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("int_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return rows.groupBy("int_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("doc_len").alias("doc_len"))
 
 
 def doc_stats(toks: DataFrame) -> DataFrame:

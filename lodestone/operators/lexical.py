@@ -48,7 +48,7 @@ class Lexical:
         held = I.postings(self.tokens, terms)
         df = held.groupBy("term").agg(F.count("*").alias("df"))
         stats = I.corpus_stats(self.tokens)
-        hits = held.join(df, "term").join(terms, "term").join(I.doc_stats(self.tokens), "int_id").crossJoin(F.broadcast(stats))
+        hits = held.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))
         if visible is not None:
             hits = hits.join(visible, visible.columns, "left_semi")
         part = weight(F.col("n_docs"), F.col("df"), F.col("tf"), F.col("doc_len"), F.col("avgdl"))
