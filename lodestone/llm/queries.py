@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, mixing, ngram_join, quality, tokens, toxicity, warc
+from lodestone.llm import decontaminate, mixing, ngram_join, quality, suffix_dedup, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pareto_mix, op3_decontaminate, op4_warc, op5_quality_ftrl, op7_token_pfor, op8_ngram_jaccard, op9_toxicity_cnn)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pareto_mix, op3_decontaminate, op4_warc, op5_quality_ftrl, op7_token_pfor, op8_ngram_jaccard, op9_toxicity_cnn, op10_suffix_dedup)}
 
 ORACLES: dict[str, str] = {}
