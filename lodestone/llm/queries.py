@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, kdtree, mixing, ngram_join, quality, suffix_dedup, tokens, toxicity, warc
+from lodestone.llm import chaining, decontaminate, kdtree, mixing, ngram_join, quality, suffix_dedup, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(_table(spark, sf_dir, "documents"))
+
+
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pareto_mix, op3_decontaminate, op4_warc, op5_quality_ftrl, op6_kdtree_topk, op7_token_pfor, op8_ngram_jaccard, op9_toxicity_cnn, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chained_passages, op2_pareto_mix, op3_decontaminate, op4_warc, op5_quality_ftrl, op6_kdtree_topk, op7_token_pfor, op8_ngram_jaccard, op9_toxicity_cnn, op10_suffix_dedup)}
 
 ORACLES: dict[str, str] = {
     "op6_kdtree_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
