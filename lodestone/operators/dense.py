@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lodestone.operators.lexical import top_k
 
@@ -46,7 +47,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, visible: DataFrame | Non
     return top_k(pairs.select("query_id", "int_id", dot(F.col("embedding"), F.col("vector")).alias("score")), k)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def hash_embedding(text: pd.Series) -> pd.Series:
     """A fixed stand-in for a text model: signed hashed counts of words, of length one; zeros for no words."""
     import xxhash
