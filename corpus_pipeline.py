@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, mixing, ngram_join, tokens, toxicity
-from lodestone.llm.frames import cut
+from lodestone.llm.frames import cut, fresh
 
 #: Near copies: five-word shingles, similarity of 0.8 or more.
 WORDS, PERCENT = 5, 80
@@ -26,8 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id; texts without words all stay, rows of null id too."""
-    joined = ngram_join.join(docs, WORDS, PERCENT).filter("component_id <> doc_id").select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(cut(joined, "copies"), F.col("doc_id") == F.col("copy_id"), "left_anti")
+    mark = fresh(docs, "copy_id")
+    joined = ngram_join.join(docs, WORDS, PERCENT).filter("component_id <> doc_id").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(cut(joined, "copies"), F.col("doc_id") == F.col(mark), "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +38,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; rows that share an id are taken equally often."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").cast("int").alias("mix_copies")).filter("mix_copies > 0")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*(docs[c] for c in docs.columns))
+    mark, times, nth = (fresh(docs, c) for c in ("mix_id", "mix_times", "mix_nth"))
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias(mark)).agg(F.max("copies").cast("int").alias(times)).filter(F.col(times) > 0)
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(mark)))
+    return rows.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.frames import cut
+from lodestone.llm.frames import cut, fresh
 
 WINDOW = 8
 LITERALS = 4
@@ -135,7 +135,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that no benchmark item leaked into, with the columns that they came with."""
     found = cut(leaks(docs, benchmark, id_col).select(F.col("doc_id").alias("leaked_doc")).distinct(), "leaked")
-    mark = "leaked_doc"
-    while mark in docs.columns:
-        mark += "_"
+    mark = fresh(docs, "leaked_doc")
     return docs.join(_small(found.toDF(mark)), F.col(id_col).cast("long") == F.col(mark), "left_anti")

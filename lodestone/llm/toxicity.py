@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.llm import text as T
+from lodestone.llm.frames import fresh
 from lodestone.llm.quality import best_cut, held_out, labelled
 
 BITS = 22
@@ -310,7 +311,5 @@ def keep_clean(docs: DataFrame, packed: bytes) -> DataFrame:
     if "lang" in docs.columns:
         for name, cut in Network.unpack(packed).thresholds.items():
             limit = F.when(F.col("lang") == name, F.lit(cut)).otherwise(limit)
-    score = "toxicity_score"
-    while score in docs.columns:
-        score += "_"
+    score = fresh(docs, "toxicity_score")
     return _scored(docs, packed, docs.columns, score).filter(F.col(score) < limit).drop(score)
