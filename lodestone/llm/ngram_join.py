@@ -5,7 +5,7 @@ are dealt into size bands (each half as wide again as the one before; a set just
 of a band that are similar enough differ in at most k elements, so the hash range is cut into more than k parts and
 such sets agree on a whole part: a tile is a band, a part and that part's content, and every similar pair meets in one.
 
-1. In each tile every set is paired with the tile's smallest id. Pairs whose parity bitmaps differ in more bits than the
+1. Tiles that hold two documents go on. In each every class is paired with the tile's smallest id. Pairs whose parity bitmaps differ in more bits than the
    sizes allow are out (the bits that differ bound the overlap from above); the rest are intersected as sorted arrays.
 2. The links give components. Tiles whose sets lie in several components are compared throughout, across components
    only, in square blocks of ``CHUNK`` sets by their bitmaps, and what passes is intersected too.
@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import text as T
-from lodestone.llm.frames import cut
+from lodestone.llm.frames import cut, tidy
 from lodestone.llm.graph import components
 
 GROWTH = 1.5
-BITMAP_BITS = 1024
+LEAST_BITS = 256
 CHUNK = 1024
 #: Members that one task compares with the head of a tile.
 STAR = 512
@@ -50,7 +50,8 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
             out.append(np.unique(grams[cuts[i] : cuts[i + 1]]))
         elif held:
             whole = words[bounds[i] : bounds[i + 1]]
-            out.append(T.mix64(np.array([np.sum(whole * (np.arange(held, dtype=np.uint64) * np.uint64(2) + np.uint64(3))) + np.uint64(held) * np.uint64(0xA5A5A5A5A5A5A5A5)], np.uint64)))
+            total = np.sum(whole * (np.arange(held, dtype=np.uint64) * np.uint64(2) + np.uint64(3)), keepdims=True)
+            out.append(T.mix64(total ^ np.uint64(0xA5A5A5A5A5A5A500 + int(held))))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -99,17 +100,28 @@ def tile_keys(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
         if parts - len(part) > spare:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part)
             part, content = np.concatenate([part, empty]), np.concatenate([content, np.zeros(len(empty), np.uint64)])
-        keys[i].append(T.mix64(content + T.mix64(part + np.uint64((b + 1) << 32))))
+        # 48 bits: keys that clash by chance cost a comparison, not a link
+        keys[i].append(T.mix64(content + T.mix64(part + np.uint64((b + 1) << 32))) >> np.uint64(16))
     return [np.unique(np.concatenate(k)) if k else np.zeros(0, np.uint64) for k in keys]
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of bytes of each set: bit i is the parity of its elements that end in i."""
-    size = np.array([len(s) for s in sets], np.int64)
-    row = np.repeat(np.arange(len(sets)), size)
-    low = np.concatenate(sets) & np.uint64(BITMAP_BITS - 1) if len(sets) else np.zeros(0, np.uint64)
-    odd = np.bincount(row * BITMAP_BITS + low.astype(np.int64), minlength=len(sets) * BITMAP_BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(len(sets), BITMAP_BITS), axis=1)
+def bitmaps(sets: list[np.ndarray]) -> list[bytes]:
+    """Of each set two to four bits an element: bit i is the parity of the elements that end in i."""
+    out = []
+    for s in sets:
+        bits = max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length() if len(s) else 0)
+        odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap at a smaller size: the parities of the places that fall together."""
+    words = np.frombuffer(bits, np.uint64)
+    while len(words) * 8 > size:
+        half = len(words) // 2
+        words = words[:half] ^ words[half:]
+    return words
 
 
 def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -122,7 +134,6 @@ def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 tiles = tile_keys(sets, percent)
                 place = np.concatenate(([0], np.cumsum([len(t) for t in tiles]))).astype(np.int32)
                 flat = (np.concatenate(tiles) if tiles else np.zeros(0, np.uint64)).view(np.int64)
-                maps = bitmaps(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, end - row),
@@ -130,7 +141,7 @@ def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
                         pa.array(np.array(one, np.uint64).view(np.int64)),
                         pa.array(np.array(two, np.uint64).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(place), pa.array(flat)),
-                        pa.array([m.tobytes() for m in maps], pa.binary()),
+                        pa.array(bitmaps(sets), pa.binary()),
                     ],
                     ["doc", "n", "f1", "f2", "tiles", "bits"],
                 )
@@ -146,8 +157,8 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             na, nb = (batch.column(i).to_numpy() for i in (1, 4))
-            maps = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 5)]
-            differ = np.bitwise_count(maps[0] ^ maps[1]).sum(axis=1, dtype=np.int64)
+            both = zip(batch.column(2).to_pylist(), batch.column(5).to_pylist(), strict=True)
+            differ = np.array([int(np.bitwise_count(folded(x, min(len(x), len(y))) ^ folded(y, min(len(x), len(y)))).sum()) for x, y in both], np.int64)
             keep = pa.array(differ <= allowed(na + nb, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(keep)
 
@@ -195,7 +206,10 @@ def _across(tiles: DataFrame, percent: int) -> DataFrame:
 
     def compare(rows: pa.Table, x: int, y: int) -> pa.RecordBatch:
         chunk, doc, comp, n = (rows.column(k).to_numpy() for k in ("chunk", "doc", "component", "n"))
-        maps = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(doc), -1)
+        bits = rows.column("bits").to_pylist()
+        # sizes in a tile differ by less than two, so little is lost at the smallest of their bitmaps
+        least = min(map(len, bits))
+        maps = np.stack([folded(x, least) for x in bits])
         left, right = np.flatnonzero(chunk == x), np.flatnonzero(chunk == y)
         found = []
         for i in left.tolist():
@@ -235,15 +249,19 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     profile = cut(_profiles(rows, n, percent), "profiles")
     member = profile.select("doc", "n", "f1", "f2")
     classes = cut(member.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep")), "classes")
+    # a tile counts if two rows are in it; only its rows go on, and of each class only the one that stands for it
+    dealt = profile.select("doc", F.explode("tiles").alias("tile"))
+    shared = dealt.groupBy(F.col("tile").alias("t")).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").select("t")
     reps = classes.filter("rep is not null").select(F.col("rep").alias("r"))
-    own = profile.join(reps, F.col("doc") == F.col("r"), "left_semi")
-    dealt = own.select("doc", F.explode("tiles").alias("tile"))
-    shared = dealt.groupBy(F.col("tile").alias("t")).agg(F.min("doc").alias("head"), F.max("doc").alias("last")).filter("head <> last").select("t", "head")
-    met = cut(dealt.join(shared, F.col("tile") == F.col("t")).select("tile", "head", "doc"), "tiles")
+    met = dealt.join(shared, F.col("tile") == F.col("t"), "left_semi").select("tile", "doc").join(reps, F.col("doc") == F.col("r"), "left_semi")
+    met = cut(met, "tiles")
+    tidy(docs.sparkSession)
     texts = cut(rows.join(met.select(F.col("doc").alias("d")).distinct(), F.col("doc") == F.col("d"), "left_semi"), "texts")
     facts = profile.select(F.col("doc").alias("d"), F.col("n"), "bits").join(met.select(F.col("doc").alias("m")).distinct(), F.col("d") == F.col("m"), "left_semi")
     facts = cut(facts, "facts")
-    star = met.filter("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
+    tidy(docs.sparkSession)
+    heads = met.groupBy(F.col("tile").alias("t")).agg(F.min("doc").alias("head"))
+    star = met.join(heads, F.col("tile") == F.col("t")).filter("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
     star = star.join(facts.toDF("d", "na", "bits_a"), F.col("a") == F.col("d")).drop("d").join(facts.toDF("d", "nb", "bits_b"), F.col("b") == F.col("d")).drop("d")
     links = cut(_verified(cut(_bounded(star, percent), "pairs"), texts, n, percent), "links")
     first = components(links)
