@@ -29,6 +29,8 @@ from lodestone.llm.frames import cut, map_batches
 CELLS = 4096
 #: Ranks behind the cut among which the last document of a source is chosen.
 LOOKAHEAD = 64
+#: Parts that the rows of a source are dealt to wherever they meet facts of their source.
+SALTS = 64
 
 
 def word_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -80,6 +82,10 @@ def _cut_cells(rows: DataFrame, keys: list[str], cell: str, room: str) -> DataFr
     )
 
 
+def _for_all_parts(facts: DataFrame) -> DataFrame:
+    return facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: int = 3, most: float = 3.0, seed: int = 17) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken): how often each document enters the mix."""
     sized = cut(word_sizes(docs, id_col, text_col, source_col), "sizes")
@@ -97,13 +103,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("cell", F.floor("z"))
         .withColumn("fine", F.floor((F.col("z") - F.col("cell")) * CELLS))
     )
-    some = rows.filter(F.col("p") > 0)
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    some = some.withColumn("k", key)
+    rows = rows.withColumn("k", key).withColumn("salt", F.pmod(F.xxhash64("doc_id", "size", F.lit(9)), F.lit(SALTS)).cast("int"))
+    some = rows.filter(F.col("p") > 0)
     first = _cut_cells(some, ["k"], "cell", "room").withColumnsRenamed({"cut": "cut1", "ahead": "ahead1"})
-    within = some.join(first, "k").filter(F.col("cell") == F.col("cut1")).withColumn("room1", F.col("room") - F.col("ahead1"))
+    within = some.join(_for_all_parts(first), ["k", "salt"]).filter(F.col("cell") == F.col("cut1")).withColumn("room1", F.col("room") - F.col("ahead1"))
     second = _cut_cells(within, ["k"], "fine", "room1").withColumnsRenamed({"cut": "cut2", "ahead": "ahead2"})
-    last = within.join(second, "k").filter(F.col("fine") == F.col("cut2")).withColumn("room2", F.col("room1") - F.col("ahead2"))
+    last = within.join(_for_all_parts(second), ["k", "salt"]).filter(F.col("fine") == F.col("cut2")).withColumn("room2", F.col("room1") - F.col("ahead2"))
     order = Window.partitionBy("k").orderBy("rank", "doc_id", "size")
     upto = last.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # all that fit before the cut enter; then the one of the next ranks whose size best fills what is left
@@ -113,7 +119,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         (F.first("room2") - F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0))).alias("gap"),
     )
     cuts = first.join(second, "k").join(edge, "k")
-    rows = rows.withColumn("k", key).join(cuts.withColumnRenamed("k", "ck"), F.col("k") == F.col("ck"), "left")
+    rows = rows.join(_for_all_parts(cuts), ["k", "salt"], "left")
     this = F.struct("rank", "doc_id", "size")
     enters = (
         F.when((F.col("p") <= 0) | F.col("cut1").isNull(), False)
@@ -122,11 +128,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .otherwise(F.coalesce(this <= F.col("edge"), F.lit(False)))
     )
     rows = rows.withColumn("enters", F.coalesce(enters, F.lit(False)))
-    after = F.row_number().over(Window.partitionBy("k").orderBy("rank", "doc_id", "size"))
-    following = rows.filter(~F.col("enters") & F.col("gap").isNotNull()).select("k", "rank", "doc_id", "size", "gap").withColumn("after", after).filter(F.col("after") <= LOOKAHEAD)
+    after = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("rank", "doc_id", "size"))
+    following = rows.filter(~F.col("enters") & F.col("gap").isNotNull()).select("k", "salt", "rank", "doc_id", "size", "gap")
+    for by in (("k", "salt"), ("k",)):
+        following = following.withColumn("after", after(*by)).filter(F.col("after") <= LOOKAHEAD)
     miss = F.abs(F.col("gap") - F.col("size"))
     filler = following.groupBy("k").agg(F.min_by(this, F.struct(miss, "after")).alias("last"), F.min(miss).alias("miss"), F.first("gap").alias("g")).filter(F.col("miss") < F.col("g"))
-    rows = rows.join(filler.select(F.col("k").alias("fk"), "last"), F.col("k") == F.col("fk"), "left")
+    rows = rows.join(_for_all_parts(filler.select("k", "last")), ["k", "salt"], "left")
     enters = F.col("enters") | F.coalesce((F.col("p") > 0) & (this == F.col("last")), F.lit(False))
     copies = (F.col("whole") + enters.cast("long")).cast("long")
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
