@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import text as T
-from lodestone.llm.frames import cut
+from lodestone.llm.frames import cut, tidy
 from lodestone.llm.sais import permuted_prefixes, suffix_array
 
 WIDTH = 50
@@ -234,13 +235,13 @@ def _fragments(rows: DataFrame, buckets: int) -> DataFrame:
                 bucket = (h[sample] % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                out = []
+                out, pack = [], zstandard.ZstdCompressor(level=3)
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
                     part = by[cuts[b] : cuts[b + 1]]
                     s, n = first[sample[part]], size[sample[part]]
                     stop = np.cumsum(n)
                     data = buf[np.repeat(s - (stop - n), n) + np.arange(stop[-1])]
-                    out.append((b, key, 2, part.astype("<i4").tobytes(), low[part].astype("<i8").tobytes(), high[part].astype("<i8").tobytes(), n.astype("<i4").tobytes(), data.tobytes()))
+                    out.append((b, key, 2, part.astype("<i4").tobytes(), low[part].astype("<i8").tobytes(), high[part].astype("<i8").tobytes(), n.astype("<i4").tobytes(), pack.compress(data.tobytes())))
                 yield _batch(out)
 
     return rows.select("doc", "keys", "text").mapInArrow(over, _ROW)
@@ -287,7 +288,7 @@ def _resolved(fragments: DataFrame) -> DataFrame:
             rest = [r for r in rows if r[2] == 2]
             if rest:
                 size, low, high = (np.concatenate([_u(r[i], k) for r in rest]).astype(np.int64) for i, k in ((6, "<i4"), (4, "<i8"), (5, "<i8")))
-                data = np.concatenate([_u(r[7], np.uint8) for r in rest])
+                data = np.concatenate([_u(zstandard.decompress(r[7]), np.uint8) for r in rest])
                 best = smallest_ids(data, size, low)
                 frag = np.repeat(np.arange(len(size)), size)
                 lost = np.flatnonzero(best < high[frag])
@@ -354,9 +355,12 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     owners = marks.groupBy(F.col("digest").alias("g")).agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner <> last").select("g", "owner")
     copies = cut(marks.join(owners, F.col("digest") == F.col("g")).filter("doc > owner").select("doc").distinct(), "copies")
     keys = cut(_wanted(_shared(_minimizers(rows, max(1, buckets // (2 * SHARDS))))), "keys")
+    tidy(spark)
     alone = keys.join(copies.withColumnRenamed("doc", "c"), F.col("doc") == F.col("c"), "left_anti")
     with_text = alone.join(rows.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d")).select("doc", "keys", "text")
-    return cut(_spans(_resolved(_fragments(with_text, buckets))), "spans"), copies
+    spans = cut(_spans(_resolved(_fragments(with_text, buckets))), "spans")
+    tidy(spark)
+    return spans, copies
 
 
 def _apply(text: bytes, spans: np.ndarray) -> bytes:
