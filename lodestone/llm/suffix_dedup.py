@@ -231,7 +231,7 @@ def _fragments(rows: DataFrame, buckets: int) -> DataFrame:
                 low, high = np.full(len(sample), np.iinfo(np.int64).max), np.full(len(sample), np.iinfo(np.int64).min)
                 np.minimum.at(low, number, doc)
                 np.maximum.at(high, number, doc)
-                yield _batch([(key % buckets, key, 0, ids[row:end].astype("<i8").tobytes()), (key % buckets, key, 1, number.astype("<i4").tobytes(), who.astype("<i4").tobytes(), (first - off[who]).astype("<i8").tobytes())])
+                yield _batch([(key % buckets, key, 0, ids[row:end].astype("<i8").tobytes()), (key % buckets, key, 1, *(zstandard.compress(x.tobytes(), 3) for x in (number.astype("<i4"), who.astype("<i4"), (first - off[who]).astype("<i8"))))])
                 bucket = (h[sample] % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
@@ -315,7 +315,7 @@ def _spans(resolved: DataFrame) -> DataFrame:
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, 1):
             ids = next(_u(r[3], "<i8") for r in rows if r[2] == 0)
-            number, who, start = next((_u(r[3], "<i4"), _u(r[4], "<i4"), _u(r[5], "<i8")) for r in rows if r[2] == 1)
+            number, who, start = next(tuple(_u(zstandard.decompress(r[i]), k) for i, k in ((3, "<i4"), (4, "<i4"), (5, "<i8"))) for r in rows if r[2] == 1)
             runs = [r for r in rows if r[2] == 3]
             if not runs:
                 continue
