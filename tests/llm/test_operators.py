@@ -400,3 +400,13 @@ def test_chained_passages(spark, docs, none):
 def test_chains_skip_gaps_and_keep_order():
     (score, path), *rest = chaining.chains([0, 10, 12, 30], [8, 18, 20, 40], [100, 112, 5, 133])
     assert path == [0, 1, 3] and score == pytest.approx(26 - chaining.GAP * (2 + 4 + 12 + 13)) and [p for _, p in rest] == [[2]]
+
+
+@pytest.mark.parametrize("size", [1 << 20, 300])
+def test_chained_passages_behind_other_holders(spark, monkeypatch, size):
+    monkeypatch.setattr(chaining, "SLICE", size)
+    own = lambda i, n: " ".join(f"d{i}x{k}" for k in range(n))
+    passage = [f"p{k}" for k in range(60)]
+    texts = {i: f"{own(i, 30)} {' '.join(passage[:n])} {own(-i, 30)}" for i, n in ((5, 49), (10, 60), (20, 49), (30, 60))}
+    found = chaining.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert (30, 30, 90, 10, 30, 90, 60, 60) in {tuple(r) for r in found}
