@@ -1,10 +1,13 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, units behind numbers and names (words with a capital inside a sentence) become typed placeholders, other words
-small letters without signs. Windows of ``WINDOW`` such tokens, at least ``LITERALS`` of them words, are hashed and
-joined with the windows of the benchmark. Of a document and an item the windows met give pairs of aligned tokens; the
+Numbers, units behind numbers and names (words with a capital) become typed placeholders, other words small letters
+without signs. Windows of ``WINDOW`` such tokens, at least ``LITERALS`` of them words, are hashed and joined with the
+windows of the benchmark. A word with a capital can be a name or not, above all where a sentence begins: an item's
+window has a key for each reading of these, a document's one for all as names, for those inside sentences, and for none.
+Of a document and an item the windows met give pairs of aligned tokens; the
 pair is a leak if they cover at least ``COVER`` of the item's tokens and the slots are consistent: within a type, equal
-values of the item stand for equal values of the document and unequal for unequal ones. A leak whose values all agree
+values of the item stand for equal values of the document and unequal for unequal ones. (A word that the item also has in
+small letters is no name where a sentence begins.) A leak whose values all agree
 is ``verbatim``, any other ``reparameterised``.
 
 The benchmark's windows are broadcast only up to ``BROADCAST_ROWS`` rows, and so are the leaks found; beyond that the
@@ -33,53 +36,68 @@ UNITS = (
     "month months year years usd eur gbp dollar dollars euro euros pound pounds cent cents percent degree degrees mph kmh kwh kw w v hz "
     "gb mb kb tb meter meters metre metres mile miles inch inches foot feet gram grams kilogram kilograms liter liters litre litres"
 )
-_NUMBER, _UNIT, _NAME = "\x01", "\x02", "\x03"
-_NUMBERS = r"[0-9]+(?:[.,:/-][0-9]+)*"
+#: Signs that a token begins with if it is a number, a unit, a name inside a sentence, another word with a capital; and what a sign inside a number stands behind.
+_NUMBER, _UNIT, _NAME, _CAPITAL, _INSIDE = "\x01", "\x02", "\x03", "\x04", "\x05"
+_MARKS = _NUMBER + _UNIT + _NAME + _CAPITAL + _INSIDE
+_NUMBERS = rf"[0-9]+(?:{_INSIDE}[.,:/-][0-9]+)*"
 _NAMES = r"(?<=[\p{Ll},;] )\p{Lu}[\p{L}\p{M}]*"
-_UNITS = rf"(?<=\x01 )(?:{'|'.join(UNITS.split())})(?= |$)"
+_CAPITALS = rf"(?<![\p{{L}}\p{{M}}{_NAME}])\p{{Lu}}"
+_OTHERS = rf"(?:(?<!{_INSIDE})[^\p{{L}}\p{{M}}0-9{_MARKS}])+"
+_UNITS = rf"({_NUMBER}[^ ]+) [{_CAPITAL}{_NAME}]?({'|'.join(UNITS.split())})(?= |$)"
 
 
-def _steps(text: Column) -> tuple[Column, Column, Column, Column]:
-    """The text as it is before numbers, names and units are replaced, and with all of them replaced."""
-    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), _NUMBER + _UNIT + _NAME, "   ")
-    numbered = F.regexp_replace(plain, _NUMBERS, f" {_NUMBER} ")
-    named = F.regexp_replace(numbered, _NAMES, _NAME)
-    spaced = F.trim(F.regexp_replace(F.lower(named), r"[^\p{L}\p{M}\x01\x03]+", " "))
-    return plain, numbered, spaced, F.regexp_replace(spaced, _UNITS, _UNIT)
+def tokens(text: Column) -> Column:
+    """Array of tokens, those that may be placeholders behind their sign; of an empty text an empty one."""
+    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), _MARKS, " " * len(_MARKS))
+    numbered = F.regexp_replace(F.regexp_replace(plain, r"(?<=[0-9])(?=[.,:/-][0-9])", _INSIDE), _NUMBERS, f" {_NUMBER}$0 ")
+    named = F.regexp_replace(F.regexp_replace(numbered, _NAMES, f"{_NAME}$0"), _CAPITALS, f"{_CAPITAL}$0")
+    spaced = F.trim(F.regexp_replace(F.lower(named), _OTHERS, " "))
+    united = F.regexp_replace(spaced, _UNITS, f"$1 {_UNIT}$2")
+    return F.when(united == "", F.array().cast("array<string>")).otherwise(F.split(united, " "))
 
 
-def template(text: Column) -> Column:
-    """Array of tokens; of an empty text an empty one."""
-    tokens = _steps(text)[3]
-    return F.when(tokens == "", F.array().cast("array<string>")).otherwise(F.split(tokens, " "))
+def slots(toks: Column, item: bool = False) -> Column:
+    """Array of (pos, type, value) of the placeholders among tokens; of an item without words that it also has in small letters."""
+    kind = lambda t: F.when(t < _CAPITAL, F.substring(t, 1, 1)).when(t < _INSIDE, _NAME)
+    every = F.transform(toks, lambda t, i: F.struct(i.alias("pos"), kind(t).alias("type"), F.substring(t, 2, 1 << 30).alias("value"), t.alias("t")))
+    found = F.filter(every, lambda x: x["type"].isNotNull() & ~(x["t"].startswith(_CAPITAL) & F.array_contains(toks, x["value"])) if item else x["type"].isNotNull())
+    return F.transform(found, lambda x: F.struct(x["pos"].alias("pos"), x["type"].alias("type"), x["value"].alias("value")))
 
 
-def slots(text: Column) -> Column:
-    """Array of (pos, type, value) of the placeholders of a text."""
-    plain, numbered, spaced, _ = _steps(text)
-    tokens = template(text)
+def codes(toks: Column) -> Column:
+    """Array of (kind, code): the number of a token's sign, 0 for a plain word, and a hash of its word or value."""
+    kind = lambda t: F.when(t < _INSIDE, F.ascii(t)).otherwise(0)
+    return F.transform(toks, lambda t: F.struct(kind(t).alias("kind"), F.xxhash64(F.when(t < _INSIDE, F.substring(t, 2, 1 << 30)).otherwise(t)).alias("code")))
 
-    def of(mark: str, values: Column) -> Column:
-        places = F.filter(F.transform(tokens, lambda t, i: F.when(t == mark, i)), lambda i: i.isNotNull())
-        return F.transform(F.arrays_zip(places.alias("p"), values.alias("v")), lambda z: F.struct(z["p"].alias("pos"), F.lit(mark).alias("type"), z["v"].alias("value")))
 
-    found = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.concat(of(_NUMBER, found(plain, _NUMBERS)), of(_NAME, found(numbered, _NAMES)), of(_UNIT, found(spaced, _UNITS)))
+def _starts(coded: Column, width: int) -> Column:
+    return F.when(F.size(coded) >= width, F.sequence(F.lit(0), F.size(coded) - width)).otherwise(F.array().cast("array<int>"))
 
 
-def codes(tokens: Column) -> Column:
-    """A long of each token: negative for placeholders."""
-    return F.transform(tokens, lambda t: F.when(t.isin(_NUMBER, _UNIT, _NAME), -F.ascii(t).cast("long")).otherwise(F.shiftrightunsigned(F.xxhash64(t), 1)))
+def _read(coded: Column, names: tuple[int, ...]) -> Column:
+    """Longs of the tokens, where numbers, units and these kinds are placeholders."""
+    return F.transform(coded, lambda x: F.when(x["kind"].isin(*names), F.lit(-3).cast("long")).when(x["kind"].isin(1, 2), -x["kind"].cast("long")).otherwise(F.shiftrightunsigned(x["code"], 1)))
 
 
-def windows(coded: Column, width: int) -> Column:
-    """Array of (pos, key) of the windows of ``width`` codes with enough words."""
-    literals = min(LITERALS, width)
-    starts = F.when(F.size(coded) >= width, F.sequence(F.lit(0), F.size(coded) - width)).otherwise(F.array().cast("array<int>"))
-    at = lambda h, i: [F.get(h, i + k) for k in range(width)]
-    words = lambda h, i: sum(((x >= 0).cast("int") for x in at(h, i)), F.lit(0))
-    kept = F.filter(starts, lambda i: words(coded, i) >= literals)
-    return F.transform(kept, lambda i: F.struct(i.alias("pos"), F.xxhash64(*at(coded, i)).alias("key")))
+def document_windows(readings: list[Column], width: int) -> Column:
+    """Array of (pos, key) of the windows of ``width`` tokens in each reading."""
+    keys = lambda i: F.array_distinct(F.array(*(F.xxhash64(F.slice(r, i + 1, width)) for r in readings)))
+    return F.flatten(F.transform(_starts(readings[0], width), lambda i: F.transform(keys(i), lambda k: F.struct(i.alias("pos"), k.alias("key")))))
+
+
+def item_windows(items: DataFrame, width: int) -> DataFrame:
+    """(item, width, ipos, key) of windows of (item, coded), in every reading that leaves enough words."""
+    cut_out = F.transform(_starts(F.col("coded"), width), lambda i: F.struct(i.alias("ipos"), F.slice("coded", i + 1, width).alias("w")))
+    bit = lambda j: F.call_function("shiftleft", F.lit(1), j)
+    total = lambda f: F.aggregate(F.transform("w", f), F.lit(0), lambda a, x: a + x)
+    w = items.select("item", F.explode(cut_out).alias("c")).select("item", "c.ipos", "c.w")
+    w = w.withColumns({"caps": total(lambda x, j: F.when(x["kind"] > 2, bit(j)).otherwise(0)), "fixed": total(lambda x: F.when(x["kind"].isin(1, 2), 1).otherwise(0))})
+    masks = F.when(F.col("caps") == 0, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda m: m.bitwiseAND(F.bitwise_not("caps")) == 0))
+    most = F.lit(width - min(LITERALS, width)) - F.col("fixed")
+    templates = w.filter(most >= 0).select("item", "ipos", "w", F.explode(F.filter(masks, lambda m: F.bit_count(m) <= most)).alias("mask"))
+    read = F.transform("w", lambda x, j: F.when(x["kind"].isin(1, 2), -x["kind"].cast("long")).when(F.col("mask").bitwiseAND(bit(j)) != 0, F.lit(-3).cast("long")).otherwise(F.shiftrightunsigned(x["code"], 1)))
+    keyed = templates.select("item", "ipos", F.xxhash64(read).alias("key"))
+    return keyed.select("item", F.lit(width).alias("width"), "ipos", "key")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -91,18 +109,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, item_id, windows, covered, item_tokens, slots, changed, kind): a row for each document and item that leaked into it."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).filter("item is not null")
-    items = cut(items.withColumns({"tokens": template(F.col("text")), "slots": slots(F.col("text"))}).withColumn("n", F.size("tokens")).filter("n > 0"), "items")
+    items = cut(items.withColumn("tokens", tokens(F.col("text"))).withColumns({"n": F.size("tokens"), "slots": slots(F.col("tokens"), item=True), "coded": codes(F.col("tokens"))}).filter("n > 0"), "items")
     keyed = None
     for width in sorted({WINDOW} | {r[0] for r in items.filter(F.col("n") < WINDOW).select("n").distinct().collect()}):
         of = items.filter(F.col("n") >= WINDOW) if width == WINDOW else items.filter(F.col("n") == width)
-        one = of.select("item", F.lit(width).alias("width"), F.explode(windows(codes(F.col("tokens")), width)).alias("w")).select("item", "width", F.col("w.pos").alias("ipos"), F.col("w.key").alias("key"))
+        one = item_windows(of, width)
         keyed = one if keyed is None else keyed.union(one)
     keyed = cut(keyed, "windows")
     widths = [r[0] for r in keyed.select("width").distinct().collect()]
-    coded = rows.select("doc", codes(template(F.col("text"))).alias("coded"))
+    coded = rows.select("doc", codes(tokens(F.col("text"))).alias("coded")).select("doc", *(r.alias(f"r{i}") for i, r in enumerate((_read(F.col("coded"), (3, 4)), _read(F.col("coded"), (3,)), _read(F.col("coded"), ())))))
+    readings = [F.col(f"r{i}") for i in range(3)]
     found = None
     for width in widths or [WINDOW]:
-        w = coded.select("doc", F.explode(windows(F.col("coded"), width)).alias("w")).select("doc", F.col("w.pos").alias("pos"), F.col("w.key").alias("k"))
+        w = coded.select("doc", F.explode(document_windows(readings, width)).alias("w")).select("doc", F.col("w.pos").alias("pos"), F.col("w.key").alias("k"))
         hit = w.join(_small(keyed.filter(F.col("width") == width)), F.col("k") == F.col("key")).select("doc", "item", "pos", "ipos", "width")
         found = hit if found is None else found.union(hit)
     hits = cut(found, "hits")
@@ -112,7 +131,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     sizes = items.select(F.col("item").alias("i"), F.col("n").alias("item_tokens"))
     close = covered.join(met, ["doc", "item"]).join(_small(sizes), F.col("item") == F.col("i")).drop("i").filter(F.col("covered") >= COVER * F.col("item_tokens"))
     close = cut(close, "close")
-    doc_slots = rows.join(_small(close.select(F.col("doc").alias("d")).distinct()), F.col("doc") == F.col("d"), "left_semi").select("doc", F.explode(slots(F.col("text"))).alias("s")).select(F.col("doc").alias("d"), F.col("s.pos").alias("dpos"), F.col("s.type").alias("type"), F.col("s.value").alias("value"))
+    doc_slots = rows.join(_small(close.select(F.col("doc").alias("d")).distinct()), F.col("doc") == F.col("d"), "left_semi").select("doc", F.explode(slots(tokens(F.col("text")))).alias("s")).select(F.col("doc").alias("d"), F.col("s.pos").alias("dpos"), F.col("s.type").alias("type"), F.col("s.value").alias("value"))
     item_slots = items.select(F.col("item").alias("i"), F.explode("slots").alias("s")).select("i", F.col("s.pos").alias("spos"), F.col("s.type").alias("itype"), F.col("s.value").alias("ivalue"))
     pairs = aligned.join(_small(item_slots), (F.col("item") == F.col("i")) & (F.col("ipos") == F.col("spos"))).join(doc_slots, (F.col("doc") == F.col("d")) & (F.col("pos") == F.col("dpos")) & (F.col("itype") == F.col("type")))
     from_item, from_doc = F.countDistinct("type", "ivalue"), F.countDistinct("type", "value")

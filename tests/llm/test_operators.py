@@ -129,6 +129,15 @@ def test_decontaminate_slots_must_be_consistent(spark):
     assert [(r.doc_id, r.kind) for r in decontaminate.leaks(d, b).collect()] == [(1, "reparameterised")]
 
 
+def test_decontaminate_names_that_begin_sentences(spark):
+    item = "Tom has 3 apples. Tom buys 4 more. Tom eats 2. How many does Tom have?"
+    copy = "Anna has 5 apples. Anna buys 9 more. Anna eats 6. How many does Anna have?"
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, f"Here is one. {copy} End."), (2, item.lower()), (3, copy.replace("Anna buys", "Eve buys")), (4, "Tom has apples. How many does Tom have?")]
+    got = {r.doc_id: r.kind for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), b).collect()}
+    assert got == {1: "reparameterised", 2: "verbatim"}
+
+
 def test_warc_round_trip(spark):
     long = "é" * 300_000
     pages = [(5, "http://a/1", "x" * 150), (3, "http://a/\r\n2", "x" * 150), (9, None, "x" * 150), (1, "http://b", "short"), (2, "http://b", "short"), (4, "http://c", None), (6, "http://c", ""), (7, "http://d", long), (None, "http://e", "y" * 200), (8, "u", "WARC/1.0 \x1f\u008b\x08" * 40)]
