@@ -4,6 +4,7 @@ Numbers, units behind numbers and names (words with a capital) become typed plac
 without signs. Windows of ``WINDOW`` such tokens, at least ``LITERALS`` of them words, are hashed and joined with the
 windows of the benchmark. A word with a capital can be a name or not, above all where a sentence begins: an item's
 window has a key for each reading of these, a document's one for all as names, for those inside sentences, and for none.
+An item's window with too many numbers and units has a key of its tokens with their values instead (``verbatim`` copies).
 Of a document and an item the windows met give pairs of aligned tokens; the
 pair is a leak if they cover at least ``COVER`` of the item's tokens and the slots are consistent: within a type, equal
 values of the item stand for equal values of the document and unequal for unequal ones. (A word that the item also has in
@@ -13,7 +14,7 @@ is ``verbatim``, any other ``reparameterised``.
 The benchmark's windows are broadcast only up to ``BROADCAST_ROWS`` rows, and so are the leaks found; beyond that the
 joins shuffle. Items of fewer than ``WINDOW`` tokens have one window of their own length.
 
-Defined cases: null or empty texts and items match nothing; items without a window of enough words match nothing; ids
+Defined cases: null or empty texts and items match nothing; ids
 are taken as unique, and rows that share one are searched each but reported as one; a null id is never reported (and
 its row kept by ``without_leaks``); empty tables give no leaks.
 """
@@ -79,6 +80,11 @@ def _read(coded: Column, names: tuple[int, ...]) -> Column:
     return F.transform(coded, lambda x: F.when(x["kind"].isin(*names), F.lit(-3).cast("long")).when(x["kind"].isin(1, 2), -x["kind"].cast("long")).otherwise(F.shiftrightunsigned(x["code"], 1)))
 
 
+def _values(coded: Column) -> Column:
+    """Longs of the tokens by their values, no placeholders."""
+    return F.transform(coded, lambda x: F.bitwise_not(F.shiftrightunsigned(x["code"], 1)))
+
+
 def document_windows(readings: list[Column], width: int) -> Column:
     """Array of (pos, key) of the windows of ``width`` tokens in each reading."""
     keys = lambda i: F.array_distinct(F.array(*(F.xxhash64(F.slice(r, i + 1, width)) for r in readings)))
@@ -86,7 +92,7 @@ def document_windows(readings: list[Column], width: int) -> Column:
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
-    """(item, width, ipos, key) of windows of (item, coded), in every reading that leaves enough words."""
+    """(item, width, ipos, key) of windows of (item, coded), in every reading that leaves enough words or else by their values."""
     cut_out = F.transform(_starts(F.col("coded"), width), lambda i: F.struct(i.alias("ipos"), F.slice("coded", i + 1, width).alias("w")))
     bit = lambda j: F.call_function("shiftleft", F.lit(1), j)
     total = lambda f: F.aggregate(F.transform("w", f), F.lit(0), lambda a, x: a + x)
@@ -96,7 +102,7 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
     most = F.lit(width - min(LITERALS, width)) - F.col("fixed")
     templates = w.filter(most >= 0).select("item", "ipos", "w", F.explode(F.filter(masks, lambda m: F.bit_count(m) <= most)).alias("mask"))
     read = F.transform("w", lambda x, j: F.when(x["kind"].isin(1, 2), -x["kind"].cast("long")).when(F.col("mask").bitwiseAND(bit(j)) != 0, F.lit(-3).cast("long")).otherwise(F.shiftrightunsigned(x["code"], 1)))
-    keyed = templates.select("item", "ipos", F.xxhash64(read).alias("key"))
+    keyed = templates.select("item", "ipos", F.xxhash64(read).alias("key")).unionAll(w.filter(most < 0).select("item", "ipos", F.xxhash64(_values(F.col("w"))).alias("key")))
     return keyed.select("item", F.lit(width).alias("width"), "ipos", "key")
 
 
@@ -117,8 +123,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         keyed = one if keyed is None else keyed.union(one)
     keyed = cut(keyed, "windows")
     widths = [r[0] for r in keyed.select("width").distinct().collect()]
-    coded = rows.select("doc", codes(tokens(F.col("text"))).alias("coded")).select("doc", *(r.alias(f"r{i}") for i, r in enumerate((_read(F.col("coded"), (3, 4)), _read(F.col("coded"), (3,)), _read(F.col("coded"), ())))))
-    readings = [F.col(f"r{i}") for i in range(3)]
+    coded = rows.select("doc", codes(tokens(F.col("text"))).alias("coded")).select("doc", *(r.alias(f"r{i}") for i, r in enumerate((_read(F.col("coded"), (3, 4)), _read(F.col("coded"), (3,)), _read(F.col("coded"), ()), _values(F.col("coded"))))))
+    readings = [F.col(f"r{i}") for i in range(4)]
     found = None
     for width in widths or [WINDOW]:
         w = coded.select("doc", F.explode(document_windows(readings, width)).alias("w")).select("doc", F.col("w.pos").alias("pos"), F.col("w.key").alias("k"))

@@ -138,6 +138,13 @@ def test_decontaminate_names_that_begin_sentences(spark):
     assert got == {1: "reparameterised", 2: "verbatim"}
 
 
+def test_decontaminate_items_of_few_words(spark):
+    b = spark.createDataFrame([(1, "Compute 12 + 7 = 19"), (2, "7 8 9 10 11 12 13 14 15"), (3, "1.5 km 2:30 h 4 kg 7")], "item_id long, text string")
+    rows = [(1, "now compute 12 + 7 = 19 at once"), (2, "so 7 8 9 10 11 12 13 14 15 and on"), (3, "is 1.5 km 2:30 h 4 kg 7 or so"), (4, "now compute 12 + 8 = 20 at once"), (5, "17 18 19 20 21 22 23 24 25"), (6, "is 1.5 km 2:31 h 4 kg 7 or so")]
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), b).collect()}
+    assert got == {(1, 1, "verbatim"), (2, 2, "verbatim"), (3, 3, "verbatim")}
+
+
 def test_warc_round_trip(spark):
     long = "é" * 300_000
     pages = [(5, "http://a/1", "x" * 150), (3, "http://a/\r\n2", "x" * 150), (9, None, "x" * 150), (1, "http://b", "short"), (2, "http://b", "short"), (4, "http://c", None), (6, "http://c", ""), (7, "http://d", long), (None, "http://e", "y" * 200), (8, "u", "WARC/1.0 \x1f\u008b\x08" * 40)]
