@@ -426,3 +426,13 @@ def test_chained_passages_behind_other_holders(spark, monkeypatch, size):
     texts = {i: f"{own(i, 30)} {' '.join(passage[:n])} {own(-i, 30)}" for i, n in ((5, 49), (10, 60), (20, 49), (30, 60))}
     found = chaining.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert (30, 30, 90, 10, 30, 90, 60, 60) in {tuple(r) for r in found}
+
+
+@pytest.mark.parametrize("size", [1 << 20, 300])
+def test_chained_passages_at_every_place(spark, monkeypatch, size):
+    monkeypatch.setattr(chaining, "SLICE", size)
+    own = lambda i, n: " ".join(f"d{i}x{k}" for k in range(n))
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, f"{own(1, 30)} {passage}"), (2, f"{own(2, 30)} {passage} {own(3, 30)} {passage} {own(4, 30)}")]
+    found = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.begin_word, r.end_word, r.match_begin) for r in found if r.doc_id == 2} == {(30, 90, 30), (120, 180, 30)}
