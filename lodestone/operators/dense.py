@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from lodestone.operators.lexical import top_k
+from lodestone.sources.corpus import listed
 
 DIM = 64
 
@@ -38,10 +39,10 @@ def mean_pooled(tokens: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, visible: DataFrame | None = None) -> DataFrame:
-    """(query_id, int_id, score, rank) by inner product; queries (query_id, vector) are a bounded list. What is not visible is out before ranks."""
+    """(query_id, int_id, score, rank) by inner product; queries are (query_id, vector). What is not visible is out before ranks."""
     if visible is not None and visible.columns == ["int_id"]:
         vectors = vectors.join(visible, "int_id", "left_semi")
-    pairs = vectors.select("int_id", "embedding").crossJoin(F.broadcast(queries.limit(10_000).select("query_id", "vector")))
+    pairs = vectors.select("int_id", "embedding").crossJoin(listed(queries.select("query_id", "vector")))
     if visible is not None and visible.columns != ["int_id"]:
         pairs = pairs.join(visible, visible.columns, "left_semi")
     return top_k(pairs.select("query_id", "int_id", dot(F.col("embedding"), F.col("vector")).alias("score")), k)

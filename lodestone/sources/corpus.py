@@ -15,6 +15,15 @@ STATUSES = ("PENDING", "INDEXED", "FAILED")
 ADDED = {"version": "1", "is_deleted": "false", "indexing_status": "'PENDING'", "updated_at": "cast(null as timestamp)", "allowed_roles": "'Public'"}
 
 
+#: Rows up to which a list goes to every worker.
+LISTED = 10_000
+
+
+def listed(df: DataFrame) -> DataFrame:
+    """A list to join with, all of it: broadcast up to LISTED rows, else as Spark deals it."""
+    return F.broadcast(df) if df.limit(LISTED + 1).count() <= LISTED else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,7 +96,7 @@ def html_files(spark: SparkSession, path: str, base: str) -> DataFrame:
 
 
 def weak_qrels(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, id): documents whose title holds one of the query's keywords; queries are (query, keywords) rows, a bounded list."""
+    """(query, id): documents whose title holds one of the query's keywords; queries are (query, keywords) rows."""
     title = F.lower(F.coalesce("title", F.lit("")))
-    wanted = docs.select("id", title.alias("t")).join(F.broadcast(queries.limit(10_000).select("query", F.explode("keywords").alias("kw"))), F.contains(F.col("t"), F.col("kw")))
+    wanted = docs.select("id", title.alias("t")).join(listed(queries.select("query", F.explode("keywords").alias("kw"))), F.contains(F.col("t"), F.col("kw")))
     return wanted.select("query", "id").distinct()

@@ -306,3 +306,20 @@ def test_queries_match_sql(spark, name):
     assert order == sorted(rel.columns)
     norm = lambda rows: sorted((tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
     assert norm(got.select(*order).collect()) == norm(rel.select(*order).fetchall())
+
+
+def test_lists_are_used_whole(spark, monkeypatch):
+    from lodestone.operators import dense
+    from lodestone.plans import queries
+    from lodestone.sources import corpus
+
+    n = 10_050
+    items = spark.range(n).select(F.col("id").alias("item_id"), F.concat(F.lit("p"), F.col("id"), F.lit(".")).alias("text"))
+    text = " ".join(f"p{i}." for i in range(n))
+    monkeypatch.setattr(corpus, "table", lambda *a: items)
+    monkeypatch.setattr(queries, "live", lambda *a: spark.createDataFrame([(1, text)], "int_id long, content string"))
+    assert queries.eval_dataset(spark, "").count() == n
+    vectors = spark.createDataFrame([(1, [1.0])], "int_id long, embedding array<double>")
+    assert dense.knn(vectors, spark.range(n).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("vector")), 1).count() == n
+    asked = spark.range(n).select(F.concat(F.lit("q"), F.col("id")).alias("query"), F.array(F.lit("t")).alias("keywords"))
+    assert corpus.weak_qrels(spark.createDataFrame([("a", "t")], "id string, title string"), asked).count() == n
