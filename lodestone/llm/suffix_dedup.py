@@ -10,10 +10,12 @@
 4. Slices turn that into spans of their documents, spans of a document are merged, and what remains is hashed.
 
 A text that equals that of a smaller id is covered whole and takes no part in 1 to 3. No key gathers more than a row of
-each slice in a task, and shards hold a fixed share of the shuffle partitions.
+each slice in a task, and there is a shard for every ``SHARD`` bytes of text at least, so shards do not grow with the table.
+A row is known by its id and a hash of its text; within a slice and within a shard equal pieces are told by 64-bit hashes.
 
 Defined cases: null texts are empty; texts under 50 bytes keep all; null ids neither remove nor lose bytes; rows that
-share an id do not remove each other's bytes; an empty table gives no rows; very long texts are read in pieces.
+share an id are texts of their own, which do not remove each other's bytes; an empty table gives no rows; very long texts
+are read in pieces.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ GRAM = 24
 SLICE = 1 << 20
 #: Buckets for each shuffle partition, so that a shard is a few hundred kilobytes.
 SHARDS = 4
+#: Bytes of all texts for each bucket, where the shuffle partitions would make buckets larger.
+SHARD = 8 << 20
 _SPAN = WIDTH - GRAM + 1
 _ROW = "bucket int, slice long, kind int, a binary, b binary, c binary, d binary, e binary"
 _NAMES = ["bucket", "slice", "kind", "a", "b", "c", "d", "e"]
@@ -115,13 +119,13 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[int,
 
 
 def _minimizers(docs: DataFrame, buckets: int) -> DataFrame:
-    """Kind 0: a slice's ids. Kind 1: its minimizers of two documents (hash, document). Kind 2: by bucket, each hash once (document -1 if of kind 1)."""
+    """Kind 0: a slice's ids and prints. Kind 1: its minimizers of two documents (hash, document). Kind 2: by bucket, each hash once (document -1 if of kind 1)."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, end, buf, off in T.text_slices(batch.column(1), SLICE):
+            ids, prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for row, end, buf, off in T.text_slices(batch.column(2), SLICE):
                 who, _, _, h = minimizer_runs(buf, off)
                 if not len(h):
                     continue
@@ -134,7 +138,7 @@ def _minimizers(docs: DataFrame, buckets: int) -> DataFrame:
                 many = np.diff(np.append(first, len(h)))
                 both = np.repeat(many > 1, many)
                 # rows that only hand a slice's own facts on are dealt by the slice
-                rows = [(key % buckets, key, 0, ids[row:end].astype("<i8").tobytes()), (key % buckets, key, 1, h[both].astype("<u8").tobytes(), who[both].astype("<i4").tobytes())]
+                rows = [(key % buckets, key, 0, ids[row:end].astype("<i8").tobytes(), prints[row:end].astype("<i8").tobytes()), (key % buckets, key, 1, h[both].astype("<u8").tobytes(), who[both].astype("<i4").tobytes())]
                 one, whose = h[first], np.where(many > 1, -1, who[first]).astype("<i4")
                 bucket = (one % np.uint64(buckets)).astype(np.int64)
                 by = np.lexsort((whose, bucket))
@@ -146,10 +150,10 @@ def _minimizers(docs: DataFrame, buckets: int) -> DataFrame:
                     rows.append((b, key, 2, np.ascontiguousarray(six).tobytes(), whose[part].tobytes()))
                 yield _batch(rows)
 
-    return docs.select("doc", "text").mapInArrow(over, _ROW)
+    return docs.select("doc", "print", "text").mapInArrow(over, _ROW)
 
 
-def _shared(entries: DataFrame) -> DataFrame:
+def _shared(entries: DataFrame, parts: int) -> DataFrame:
     """Kinds 0 and 1 as they are, and as kind 3 the hashes (their upper 48 bits) that another slice holds too."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,34 +181,34 @@ def _shared(entries: DataFrame) -> DataFrame:
                         pass_on.append((r[0], r[1], 3, h[k][use].tobytes(), whose[k][use].tobytes()))
             yield _batch([r[:5] for r in pass_on])
 
-    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(over, _ROW)
+    return entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(over, _ROW)
 
 
 def _wanted(replies: DataFrame) -> DataFrame:
-    """(doc, keys): the upper 48 bits of the shared minimizers of each document that has any, ascending."""
+    """(doc, print, keys): the upper 48 bits of the shared minimizers of each document that has any, ascending."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, 1):
-            ids = np.concatenate([_u(r[3], "<i8") for r in rows if r[2] == 0] or [np.zeros(0, np.int64)])
+            ids, prints = (np.concatenate([_u(r[i], "<i8") for r in rows if r[2] == 0] or [np.zeros(0, np.int64)]) for i in (3, 4))
             h = np.concatenate([_u(r[3], "<u8") >> np.uint64(16 if r[2] == 1 else 0) for r in rows if r[2] > 0])
             who = np.concatenate([_u(r[4], "<i4") for r in rows if r[2] > 0])
             order = np.lexsort((h, who))
             h, who = h[order], who[order]
             cuts = np.searchsorted(who, np.arange(len(ids) + 1))
             have = np.flatnonzero(np.diff(cuts)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[have], pa.int64()), pa.array([h[cuts[i] : cuts[i + 1]].tobytes() for i in have], pa.binary())], ["doc", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[have], pa.int64()), pa.array(prints[have], pa.int64()), pa.array([h[cuts[i] : cuts[i + 1]].tobytes() for i in have], pa.binary())], ["doc", "print", "keys"])
 
-    return replies.repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(over, "doc long, keys binary")
+    return replies.repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(over, "doc long, print long, keys binary")
 
 
 def _fragments(rows: DataFrame, buckets: int) -> DataFrame:
-    """Of (doc, keys, text). Kind 0: a slice's ids. Kind 1: occurrences (fragment, document, start). Kind 2: by bucket, fragments (number, smallest id, largest id, length, bytes)."""
+    """Of (doc, print, keys, text). Kind 0: a slice's ids and prints. Kind 1: occurrences (fragment, document, start). Kind 2: by bucket, fragments (number, smallest id, largest id, length, bytes)."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = 0
         for batch in batches:
-            ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for row, end, buf, off in T.text_slices(batch.column(2), SLICE):
+            ids, prints, keys = *(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)), batch.column(2).to_pylist()
+            for row, end, buf, off in T.text_slices(batch.column(3), SLICE):
                 who, first, last, h = minimizer_runs(buf, off)
                 held = [_u(k, "<u8") for k in keys[row:end]]
                 # a document's shared hashes lie ascending, and so do the pairs of document and hash
@@ -231,7 +235,7 @@ def _fragments(rows: DataFrame, buckets: int) -> DataFrame:
                 low, high = np.full(len(sample), np.iinfo(np.int64).max), np.full(len(sample), np.iinfo(np.int64).min)
                 np.minimum.at(low, number, doc)
                 np.maximum.at(high, number, doc)
-                yield _batch([(key % buckets, key, 0, ids[row:end].astype("<i8").tobytes()), (key % buckets, key, 1, *(zstandard.compress(x.tobytes(), 3) for x in (number.astype("<i4"), who.astype("<i4"), (first - off[who]).astype("<i8"))))])
+                yield _batch([(key % buckets, key, 0, ids[row:end].astype("<i8").tobytes(), prints[row:end].astype("<i8").tobytes()), (key % buckets, key, 1, *(zstandard.compress(x.tobytes(), 3) for x in (number.astype("<i4"), who.astype("<i4"), (first - off[who]).astype("<i8"))))])
                 bucket = (h[sample] % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
@@ -244,7 +248,8 @@ def _fragments(rows: DataFrame, buckets: int) -> DataFrame:
                     out.append((b, key, 2, part.astype("<i4").tobytes(), low[part].astype("<i8").tobytes(), high[part].astype("<i8").tobytes(), n.astype("<i4").tobytes(), pack.compress(data.tobytes())))
                 yield _batch(out)
 
-    return rows.select("doc", "keys", "text").mapInArrow(over, _ROW)
+    # a task that runs again has to cut the same slices
+    return rows.select("doc", "print", "keys", "text").sortWithinPartitions("doc", "print").mapInArrow(over, _ROW)
 
 
 def smallest_ids(data: np.ndarray, size: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -279,7 +284,7 @@ def smallest_ids(data: np.ndarray, size: np.ndarray, low: np.ndarray) -> np.ndar
     return best[np.repeat(at[number] - begin, size) + np.arange(len(data))]
 
 
-def _resolved(fragments: DataFrame) -> DataFrame:
+def _resolved(fragments: DataFrame, parts: int) -> DataFrame:
     """Kinds 0 and 1 as they are, and as kind 3 the runs of windows (fragment, first, last, smallest id) that some document of the slice loses."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,15 +311,15 @@ def _resolved(fragments: DataFrame) -> DataFrame:
                         out.append((rest[i][0], rest[i][1], 3, number[f0[k]].astype("<i4").tobytes(), a[k].astype("<i4").tobytes(), z[k].astype("<i4").tobytes(), least[k].astype("<i8").tobytes()))
             yield _batch(out)
 
-    return fragments.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(over, _ROW)
+    return fragments.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(over, _ROW)
 
 
 def _spans(resolved: DataFrame) -> DataFrame:
-    """(doc, spans): merged pairs of begin and end of what each document loses."""
+    """(doc, print, spans): merged pairs of begin and end of what each document loses."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, 1):
-            ids = next(_u(r[3], "<i8") for r in rows if r[2] == 0)
+            ids, prints = next((_u(r[3], "<i8"), _u(r[4], "<i8")) for r in rows if r[2] == 0)
             number, who, start = next(tuple(_u(zstandard.decompress(r[i]), k) for i, k in ((3, "<i4"), (4, "<i4"), (5, "<i8"))) for r in rows if r[2] == 1)
             runs = [r for r in rows if r[2] == 3]
             if not runs:
@@ -341,28 +346,37 @@ def _spans(resolved: DataFrame) -> DataFrame:
             pairs = np.stack([begin[head], far[last] - base[last]], axis=1).astype("<i8")
             cuts = np.searchsorted(w[head], np.arange(len(ids) + 1))
             have = np.flatnonzero(np.diff(cuts)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[have], pa.int64()), pa.array([pairs[cuts[i] : cuts[i + 1]].tobytes() for i in have], pa.binary())], ["doc", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[have], pa.int64()), pa.array(prints[have], pa.int64()), pa.array([pairs[cuts[i] : cuts[i + 1]].tobytes() for i in have], pa.binary())], ["doc", "print", "spans"])
 
-    return resolved.repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(over, "doc long, spans binary")
+    return resolved.repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(over, "doc long, print long, spans binary")
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc, spans) of documents that lose bytes, and (doc) of those whose text a smaller id has whole; both written."""
+    """(doc, print, spans) of rows that lose bytes, and (doc, print) of those whose text a smaller id has whole; both written."""
     spark = docs.sparkSession
-    buckets = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("doc is not null")
-    marks = rows.select("doc", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("n")).filter(f"n >= {WIDTH}")
+    rows = _rows(docs, id_col, text_col).filter("doc is not null")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(SHARDS * parts, total // SHARD + 1)
+    parts = max(parts, buckets // SHARDS)
+    marks = rows.filter(F.octet_length("text") >= WIDTH).select("doc", "print", F.sha2("text", 256).alias("digest"))
     owners = marks.groupBy(F.col("digest").alias("g")).agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner <> last").select("g", "owner")
-    copies = cut(marks.join(owners, F.col("digest") == F.col("g")).filter("doc > owner").select("doc").distinct(), "copies")
-    keys = cut(_wanted(_shared(_minimizers(rows, max(1, buckets // (2 * SHARDS))))), "keys")
+    # written, so that Spark can split a join whose rows are mostly copies of one text
+    copies = cut(marks.join(cut(owners, "owners"), F.col("digest") == F.col("g")).filter("doc > owner").select("doc", "print"), "copies").distinct()
+    keys = cut(_wanted(_shared(_minimizers(rows, max(1, buckets // SHARDS)), parts)), "keys")
     tidy(spark)
-    alone = keys.join(copies.withColumnRenamed("doc", "c"), F.col("doc") == F.col("c"), "left_anti")
-    with_text = alone.join(rows.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d")).select("doc", "keys", "text")
-    spans = cut(_spans(_resolved(_fragments(with_text, buckets))), "spans")
+    alone = keys.join(copies.toDF("c", "p"), (F.col("doc") == F.col("c")) & (F.col("print") == F.col("p")), "left_anti")
+    with_text = alone.join(rows.toDF("d", "q", "text"), (F.col("doc") == F.col("d")) & (F.col("print") == F.col("q"))).select("doc", "print", "keys", "text")
+    spans = cut(_spans(_resolved(_fragments(with_text, buckets), parts)), "spans")
     tidy(spark)
     return spans, copies
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("print"), text.alias("text"))
+
+
 def _apply(text: bytes, spans: np.ndarray) -> bytes:
     at, kept = 0, []
     for a, b in spans.tolist():
@@ -375,10 +389,9 @@ def _apply(text: bytes, spans: np.ndarray) -> bytes:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document, and with keep_text what remains (cut bytes decoded with replacement)."""
     spans, copies = removed_spans(docs, id_col, text_col)
-    lost = spans.select(F.col("doc").alias("d"), "spans", F.lit(False).alias("all")).unionAll(copies.select("doc", F.lit(None).cast("binary"), F.lit(True)))
-    lost = lost.groupBy("d").agg(F.max("all").alias("all"), F.first("spans", ignorenulls=True).alias("spans"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.join(lost, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "all", "spans")
+    lost = spans.select(F.col("doc").alias("d"), F.col("print").alias("p"), "spans", F.lit(False).alias("all")).unionAll(copies.select("doc", "print", F.lit(None).cast("binary"), F.lit(True)))
+    lost = lost.groupBy("d", "p").agg(F.max("all").alias("all"), F.first("spans", ignorenulls=True).alias("spans"))
+    rows = _rows(docs, id_col, text_col).join(lost, (F.col("doc") == F.col("d")) & (F.col("print") == F.col("p")), "left").select(F.col("doc").alias("doc_id"), "text", "all", "spans")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -387,6 +387,15 @@ def test_suffix_dedup(spark, docs, none, monkeypatch):
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def test_suffix_dedup_rows_that_share_an_id(spark):
+    r = np.random.default_rng(8)
+    a, b, c = (" ".join(f"{w:x}" for w in r.integers(0, 1 << 30, 60)) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (5, c + a[100:200]), (5, b), (7, b)]
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans) for x in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = [len(x) for x in (a, b, c)]
+    assert got == sorted([(1, n[0], 0, 0), (5, n[0], n[0], 1), (5, n[1], 0, 0), (5, n[1], 0, 0), (5, n[2] + 100, 100, 1), (7, n[1], n[1], 1)])
+
+
 def test_chained_passages(spark, docs, none):
     found = chaining.passages(docs).collect()
     texts = {i: words(t) for i, t, *_ in corpus()}
