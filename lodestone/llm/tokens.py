@@ -17,6 +17,7 @@ each other by text; an empty table gives no file and no rows.
 from __future__ import annotations
 
 import io
+import json
 import os
 import struct
 import zlib
@@ -36,6 +37,8 @@ BLOCK = 8192
 SHARES = (90, 95, 98, 100)
 END_ID = 2
 CACHE_ITEMS = 500_000
+#: Ids of a file that a task reads back.
+RANGE = 2 << 20
 _MAGIC = b"LODEPFR1"
 _HEAD = struct.Struct("<IIIB3x")
 _TAIL = struct.Struct("<QQQQ8s")
@@ -52,6 +55,23 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(next(free)) for b in range(256)}
 
 
+def _fits(tokenizer: object) -> tuple[bool, bool]:
+    """Whether plain letters pass the tokenizer's parts unchanged but for case, and whether its texts fall apart at white space.
+
+    That is known of parts that compose signs, make white space one space and letters small, and take runs of letters,
+    single digits and runs of other signs from between white space. Any other tokenizer gets its texts whole.
+    """
+    said = json.loads(tokenizer.to_str())
+    parts = {k: [x["type"] for x in (said.get(k) or {}).get(k + "s" if k == "normalizer" else "pretokenizers", [])] for k in ("normalizer", "pre_tokenizer")}
+    if parts != {"normalizer": ["NFC", "Replace", "Lowercase"], "pre_tokenizer": ["Split", "ByteLevel"]}:
+        return False, False
+    space, split = said["normalizer"]["normalizers"][1], said["pre_tokenizer"]["pretokenizers"]
+    classes = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    known = space["pattern"] == {"Regex": r"\s+"} and space["content"] == " " and split[0]["pattern"].get("Regex", "").endswith(classes) and split[0]["invert"] and split[0]["behavior"] == "Removed"
+    known = known and not split[1]["add_prefix_space"] and not split[1]["use_regex"] and said["model"]["type"] == "BPE" and not any(set(x["content"]) & set(" \t\n\r\v\f") or x["lstrip"] or x["rstrip"] for x in said["added_tokens"])
+    return known, known
+
+
 class Encoder:
     """Ids of whole texts; what it has learnt of pieces stays for the next batch."""
 
@@ -61,6 +81,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.plain, self.cut_up = _fits(self.tokenizer)
         self._forget()
 
     def _forget(self) -> None:
@@ -73,7 +94,7 @@ class Encoder:
         hard = []
         for p in pieces:
             # plain letters pass the normalizer and pre-tokenizer unchanged but for case
-            if p.isalpha() and max(p) < "ɐ" and "İ" not in p:
+            if self.plain and p.isalpha() and max(p) < "ɐ" and "İ" not in p:
                 p = p.lower()
                 if not p.isascii():
                     p = "".join(map(self.letters.__getitem__, p.encode()))
@@ -88,6 +109,12 @@ class Encoder:
 
     def encode(self, buf: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each row), each row closed by the end id."""
+        if not self.cut_up:
+            raw = buf.tobytes()
+            texts = [raw[a:z].decode("utf-8", "replace") for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            lists = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            return np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum())), size
         starts, ends, bounds = T.word_spans(buf, off)
         core = ends.copy()
         live = np.arange(len(starts))
@@ -232,12 +259,12 @@ class Reader:
         parts = [unpack_block(data[int(self.index[b] - self.index[b0]) : int(self.index[b + 1] - self.index[b0])]) for b in range(b0, b1)]
         return np.concatenate(parts)[first - b0 * BLOCK : end - b0 * BLOCK]
 
-    def runs(self, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(first document, end document, their ids) in runs of about ``most`` ids."""
-        row = 0
-        while row < len(self.docs):
+    def runs(self, first: int = 0, stop: int | None = None, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first document, end document, their ids) in runs of about ``most`` ids, of the documents that start at places from ``first`` up to ``stop``."""
+        row, last = np.searchsorted(self.starts[:-1], [first, self.total if stop is None else stop]).tolist()
+        while row < last:
             end = max(int(np.searchsorted(self.starts, self.starts[row] + most, side="right")) - 1, row + 1)
-            end = min(end, len(self.docs))
+            end = min(end, last)
             yield row, end, self.ids(int(self.starts[row]), int(self.starts[end]))
             row = end
 
@@ -276,16 +303,16 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
 
 
 def read_tokens(files: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; a task reads the documents that start in a range of ids."""
     before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for path, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, base, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with store.open_input_file(path) as file:
                     reader = Reader(file)
-                    for row, end, ids in reader.runs():
+                    for row, end, ids in reader.runs(first, first + RANGE):
                         data = memoryview(ids.astype("<u4").tobytes())
                         at = (reader.starts[row : end + 1] - reader.starts[row]) * 4
                         crc = [zlib.crc32(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -294,7 +321,10 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
                             ["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
-    placed = files.select("path", before.alias("base")).repartition(F.col("path"))
+    placed = files.select("path", before.alias("base"), "ids")
+    placed = placed.select("path", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("ids") - 1, F.lit(0)), F.lit(RANGE).cast("long"))).alias("first"))
+    # files are listed in a written table; a range is a task, however small the list is
+    placed = placed.repartition(int(files.agg(F.sum(F.ceil(F.greatest("ids", F.lit(1)) / RANGE))).first()[0] or 1), "path", "first")
     return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -70,6 +70,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         .filter("copies > 1")
     )
     refers = F.when(F.col("page") != F.col("owner"), F.col("owner"))
+    # written, so that Spark can split a join whose rows are mostly copies of one payload
+    owners = cut(owners, "owners")
     marked = rows.join(owners, F.col("digest") == F.col("shared"), "left").select("page", "url", "payload", "digest", refers.alias("refers"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +100,7 @@ class _Range:
     def __init__(self, file: pa.NativeFile, start: int, end: int) -> None:
         self.file, self.start = file, start
         file.seek(start)
-        self.data = file.read(end - start + 2)
+        self.data = bytearray(file.read(end - start + 2))
 
     def grow(self) -> bool:
         self.file.seek(self.start + len(self.data))
@@ -145,6 +147,8 @@ def records_in(file: pa.NativeFile, start: int, end: int) -> Iterator[tuple[int,
 
 def read_archives(archives: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, keep_payload: bool = True) -> DataFrame:
     """One row a record of the archives (path, bytes) below ``folder``. The digest is that of the payload read, and of a revisit the one its header gives."""
+    # archives are listed in a written table; a range is a task, however small the list is
+    count = archives.agg(F.sum(F.ceil(F.greatest("bytes", F.lit(1)) / range_bytes))).first()[0] or 1
     ranges = archives.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"), "bytes")
     ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, "bytes").alias("end"))
 
@@ -170,7 +174,7 @@ def read_archives(archives: DataFrame, folder: str, range_bytes: int = RANGE_BYT
                 if rows:
                     yield _batch(rows)
 
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(read, _FIELDS)
+    return ranges.repartition(int(count), "path", "start").mapInArrow(read, _FIELDS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

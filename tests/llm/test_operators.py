@@ -164,7 +164,9 @@ def test_warc_ranges_own_each_record_once(spark, tmp_path):
     folder = work_path(spark, "warc-test")
     files = warc.write_archives(df, folder)
     for step in (100, 333, 5000, 1 << 20):
-        rows = warc.read_archives(files, folder, step).collect()
+        read = warc.read_archives(files, folder, step)
+        assert read.rdd.getNumPartitions() == sum(-(-r.bytes // step) for r in files.collect())
+        rows = read.collect()
         assert sorted(r.record_id for r in rows) == sorted(f"<urn:page:{i}>" for i in range(40))
         assert {hashlib.sha256(bytes(r.payload)).hexdigest() for r in rows} == {r.payload_digest for r in rows}
 
@@ -279,6 +281,22 @@ def test_token_files(spark, docs, none):
     assert tokens.token_files(none).count() == 0
 
 
+def test_token_files_of_another_tokenizer_read_in_many_tasks(spark, docs, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder = Tokenizer.from_file(path)
+    monkeypatch.setattr(tokens, "RANGE", 700)
+    found = tokens.token_files(docs, path)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in found.collect()}
+    want = {}
+    for r in docs.collect():
+        ids = np.array(coder.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4")
+        want[r.doc_id] = (len(ids), zlib.crc32(ids.tobytes()))
+    assert got == want and found.rdd.getNumPartitions() >= sum(n for n, _ in want.values()) // 700 > 4
+
+
 def test_token_reader_takes_any_document():
     out = io.BytesIO()
     writer = tokens.Writer(out)
