@@ -463,3 +463,73 @@ def test_chained_passages_at_every_place(spark, monkeypatch, size):
     rows = [(1, f"{own(1, 30)} {passage}"), (2, f"{own(2, 30)} {passage} {own(3, 30)} {passage} {own(4, 30)}")]
     found = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.begin_word, r.end_word, r.match_begin) for r in found if r.doc_id == 2} == {(30, 90, 30), (120, 180, 30)}
+
+
+def test_edit_matches_are_the_longest_common_subsequence():
+    r = random.Random(2)
+    for _ in range(60):
+        x, y = ([r.randrange(5) for _ in range(r.randrange(90))] for _ in range(2))
+        row = [0] * (len(y) + 1)
+        for a in x:
+            last = 0
+            for j, b in enumerate(y):
+                row[j + 1], last = max(row[j], row[j + 1], last + (a == b)), row[j + 1]
+        assert chaining.edit_matches(x, y) == row[-1]
+
+
+def test_chains_of_many_segments_are_cut_without_recursion():
+    x = np.arange(60_000, dtype=np.uint32)
+    y = np.where(np.arange(60_000) % 40 < 8, x, x + np.uint32(100_000))
+    begin = list(range(0, 60_000, 40))
+    work = chaining._Work((1, 0, 0, 0), (x, y), (True, True), begin, [b + 8 for b in begin], list(begin))
+    assert chaining.aligned([work]) == ([], [])
+
+
+def edited(passage: list[str], rate: float | int, r: random.Random) -> list[str]:
+    """Every rate-th word changed, or that share of the words by chance changed, left out or doubled by a new one."""
+    out = []
+    for k, w in enumerate(passage):
+        new = f"n{r.randrange(10**9)}"
+        if rate >= 1:
+            out.append(new if k % int(rate) == rate // 2 else w)
+        elif r.random() >= rate:
+            out.append(w)
+        else:
+            out += r.choice([[new], [new], [], [w, new]])
+    return out
+
+
+def plain_similarity(x: list[str], y: list[str]) -> float:
+    row = [0] * (len(y) + 1)
+    for a in x:
+        last = 0
+        for j, b in enumerate(y):
+            row[j + 1], last = max(row[j], row[j + 1], last + (a == b)), row[j + 1]
+    return row[-1] / max(len(x), len(y))
+
+
+def test_chained_passages_recall(spark):
+    """Of edited passages that a quadratic alignment finds similar enough, at least 0.9 are found, by most of their words."""
+    r = random.Random(11)
+    own = lambda n: [f"u{r.randrange(10**9)}" for _ in range(n)]
+    rows, planted = [], {}
+    for rate in (0.05, 0.1, 0.15, 0.18, 5, 6, 7, 8):
+        for size in (100, 200):
+            for _ in range(25):
+                a = [f"p{r.randrange(10**9)}" for _ in range(size)]
+                b = edited(a, rate, r)
+                i = len(rows)
+                rows += [(i, " ".join(own(40) + a + own(40))), (i + 1, " ".join(own(60) + b + own(20)))]
+                if plain_similarity(a, b) >= 0.8:
+                    planted[i + 1] = (rate, size)
+    best = defaultdict(int)
+    for x in chaining.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        assert {x.doc_id, x.match_doc_id} in ({x.doc_id, x.doc_id + 1}, {x.doc_id, x.doc_id - 1})
+        best[max(x.doc_id, x.match_doc_id)] = max(best[max(x.doc_id, x.match_doc_id)], x.n_words)
+    found = [best[i] >= 0.6 * size for i, (_, size) in planted.items()]
+    assert len(found) > 300 and sum(found) >= 0.9 * len(found)
+    by = defaultdict(list)
+    for i, k in planted.items():
+        by[k].append(best[i] > 0)
+    print({k: f"{sum(v)}/{len(v)}" for k, v in by.items()})
+    assert all(sum(v) >= 0.8 * len(v) for v in by.values())
