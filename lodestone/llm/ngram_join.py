@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ LEAST_BITS = 256
 CHUNK = 1024
 #: Members that one task compares with the head of a tile.
 STAR = 512
+#: Elements of sets for each bucket of tiles, and rows of a batch that a bucket gives.
+BUCKET, ROWS = 4 << 20, 1 << 18
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -105,6 +108,11 @@ def tile_keys(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
     return [np.unique(np.concatenate(k)) if k else np.zeros(0, np.uint64) for k in keys]
 
 
+def class_sums(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Two 64-bit sums over the elements of each set, which tell equal sets."""
+    return tuple([int(np.sum(T.mix64(s ^ np.uint64(salt)), dtype=np.uint64)) for s in sets] for salt in (0x9216D5D98979FB1B, 0x2FFD72DBD01ADFB7))
+
+
 def bitmaps(sets: list[np.ndarray]) -> list[bytes]:
     """Of each set two to four bits an element: bit i is the parity of the elements that end in i."""
     out = []
@@ -124,29 +132,83 @@ def folded(bits: bytes, size: int) -> np.ndarray:
     return words
 
 
-def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _profiles(docs: DataFrame, n: int) -> DataFrame:
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, buf, off in T.text_slices(batch.column(1)):
+                sets = shingle_sets(buf, off, n)
+                one, two = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in class_sums(sets))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, end - row), pa.array([len(s) for s in sets], pa.int64()), one, two, pa.array(bitmaps(sets), pa.binary())],
+                    ["doc", "n", "f1", "f2", "bits"],
+                )
+
+    return docs.mapInArrow(over, "doc long, n long, f1 long, f2 long, bits binary")
+
+
+def _sent(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """(bucket, keys, docs): of each slice of rows the tiles that fall into a bucket, six bytes a key, and the document of each."""
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # of equal sets in a task one is sent
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
+            ids = batch.column(0).to_numpy()
             for row, end, buf, off in T.text_slices(batch.column(1)):
                 sets = shingle_sets(buf, off, n)
-                one = [int(np.sum(T.mix64(s ^ np.uint64(0x9216D5D98979FB1B)), dtype=np.uint64)) for s in sets]
-                two = [int(np.sum(T.mix64(s ^ np.uint64(0x2FFD72DBD01ADFB7)), dtype=np.uint64)) for s in sets]
+                for i, sums in enumerate(zip(*class_sums(sets), strict=True)):
+                    if sums in seen:
+                        sets[i] = sets[i][:0]
+                    seen.add(sums)
                 tiles = tile_keys(sets, percent)
-                place = np.concatenate(([0], np.cumsum([len(t) for t in tiles]))).astype(np.int32)
-                flat = (np.concatenate(tiles) if tiles else np.zeros(0, np.uint64)).view(np.int64)
+                key = np.concatenate(tiles)
+                doc = np.repeat(ids[row:end], [len(t) for t in tiles])
+                bucket = (key % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                key, doc = key[order], doc[order]
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                have = np.flatnonzero(np.diff(cuts))
+                six = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :6])
+                parts = [(cuts[b], cuts[b + 1]) for b in have.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(row, end - row),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(np.array(one, np.uint64).view(np.int64)),
-                        pa.array(np.array(two, np.uint64).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(place), pa.array(flat)),
-                        pa.array(bitmaps(sets), pa.binary()),
-                    ],
-                    ["doc", "n", "f1", "f2", "tiles", "bits"],
+                    [pa.array(have.astype(np.int32)), pa.array([six[a:z].tobytes() for a, z in parts], pa.binary()), pa.array([pack.compress(np.diff(doc[a:z], prepend=0).tobytes()) for a, z in parts], pa.binary())],
+                    ["bucket", "keys", "docs"],
                 )
 
-    return docs.mapInArrow(over, "doc long, n long, f1 long, f2 long, tiles array<long>, bits binary")
+    return docs.mapInArrow(over, "bucket int, keys binary, docs binary")
+
+
+def _met(sent: DataFrame, buckets: int) -> DataFrame:
+    """(tile, doc) of the tiles that several documents are in."""
+
+    def tiles(keys: list[bytes], docs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        total = sum(map(len, keys)) // 6
+        wide = np.zeros((total, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 6)
+        tile, doc = wide.view(np.int64).ravel(), np.concatenate([np.cumsum(np.frombuffer(zstandard.decompress(d), np.int64)) for d in docs])
+        order = np.argsort(tile, kind="stable")
+        tile, doc = tile[order], doc[order]
+        head = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+        several = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
+        keep = np.repeat(several, np.diff(np.append(head, total)))
+        tile, doc = tile[keep], doc[keep]
+        for at in range(0, len(tile), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(tile[at : at + ROWS]), pa.array(doc[at : at + ROWS])], ["tile", "doc"])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, docs = None, [], []
+        for batch in batches:
+            for b, k, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != now and keys:
+                    yield from tiles(keys, docs)
+                    keys, docs = [], []
+                now = b
+                keys.append(k)
+                docs.append(d)
+        if keys:
+            yield from tiles(keys, docs)
+
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(over, "tile long, doc long")
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
@@ -246,15 +308,17 @@ def _across(tiles: DataFrame, percent: int) -> DataFrame:
 def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    profile = cut(_profiles(rows, n, percent), "profiles")
+    profile = cut(_profiles(rows, n), "profiles")
     member = profile.select("doc", "n", "f1", "f2")
     classes = cut(member.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep")), "classes")
-    # a tile counts if two rows are in it; only its rows go on, and of each class only the one that stands for it
-    dealt = profile.select("doc", F.explode("tiles").alias("tile"))
-    shared = dealt.groupBy(F.col("tile").alias("t")).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").select("t")
-    reps = classes.filter("rep is not null").select(F.col("rep").alias("r"))
-    met = dealt.join(shared, F.col("tile") == F.col("t"), "left_semi").select("tile", "doc").join(reps, F.col("doc") == F.col("r"), "left_semi")
-    met = cut(met, "tiles")
+    match = (F.col("n") == F.col("n_")) & (F.col("f1") == F.col("f1_")) & (F.col("f2") == F.col("f2_"))
+    tidy(docs.sparkSession)
+    # buckets of a bounded size, whatever the size of the table
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) // BUCKET + 1)
+    met = _met(_sent(rows.filter("doc is not null"), n, percent, buckets), buckets)
+    reps = member.filter("n > 0").join(classes.toDF("n_", "f1_", "f2_", "rep"), match).select(F.col("doc").alias("d"), "rep").distinct()
+    met = cut(met.join(reps, F.col("doc") == F.col("d")).select("tile", F.col("rep").alias("doc")), "tiles")
     tidy(docs.sparkSession)
     texts = cut(rows.join(met.select(F.col("doc").alias("d")).distinct(), F.col("doc") == F.col("d"), "left_semi"), "texts")
     facts = profile.select(F.col("doc").alias("d"), F.col("n"), "bits").join(met.select(F.col("doc").alias("m")).distinct(), F.col("d") == F.col("m"), "left_semi")
@@ -273,5 +337,4 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     final = components(links.union(more))
     named = classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     named = named.toDF("n_", "f1_", "f2_", "component")
-    match = (F.col("n") == F.col("n_")) & (F.col("f1") == F.col("f1_")) & (F.col("f2") == F.col("f2_"))
     return member.join(named, match, "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
