@@ -2,48 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from lodestone.storage import cut, shared_dir, work_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset (tests, one machine) a local one."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = context._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = tempfile.mkdtemp(prefix="lodestone-")
-        context.setCheckpointDir(found)
-    elif not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(found)
-    return found
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, with a scheme."""
-    top = shared_dir(spark)
-    return f"{top if ':/' in top else 'file://' + top}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write a DataFrame once as Parquet in the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nobody holds any more; else they stay until the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+__all__ = ["cut", "fresh", "map_batches", "shared_dir", "work_path"]
 
 
 def fresh(df: DataFrame, name: str) -> str:
