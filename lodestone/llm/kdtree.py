@@ -11,7 +11,8 @@ Equal vectors are searched once, and of equal points only the k + 1 smallest ids
 
 Defined cases: vectors that are null or hold a null or a value that is not finite take no part, neither do null ids;
 vectors of other lengths count as ended by zeros; integers beyond 2**62 are held there; equal scores go to the smaller
-id; fewer candidates than k give all; rows that repeat an id are candidates each; an empty table gives no rows.
+id; fewer candidates than k give all; rows that repeat an id are queries and candidates each, and only the query itself is no
+candidate of its own; other columns play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -221,13 +222,17 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
                 high[b] = np.maximum(high.get(b, part[0]), part.max(axis=0))
         yield pa.RecordBatch.from_pydict({"block": pa.array(list(low), pa.int64()), "low": pa.array([x.tobytes() for x in low.values()], pa.binary()), "high": pa.array([x.tobytes() for x in high.values()], pa.binary())})
 
-    found_boxes = placed.repartition("block").select("block", "v").mapInArrow(boxes, "block long, low binary, high binary").collect()  # a row a block
+    kind = "block long, low binary, high binary"
+    own_boxes = cut(placed.repartition("block").select("block", "v").mapInArrow(boxes, kind), "boxes")
+    # the driver gets a box a shard, at most MAX_SHARDS; those of the blocks of a shard stay a table
+    corners = own_boxes.select(F.expr(f"block div {wide}").alias("block"), F.explode(F.array("low", "high")).alias("v"))
+    found_boxes = corners.repartition("block").mapInArrow(boxes, kind).collect()
     names = np.array([r[0] for r in found_boxes], np.int64)
     side = lambda i: np.array([np.frombuffer(bytes(r[i]), "<i8") for r in found_boxes]).reshape(-1, dim)
     low, high = side(1), side(2)
 
     wanted = rows.filter(F.col("id") % every == 0)
-    asked = cut(wanted.groupBy("v").agg(F.min("id").alias("id")), "queries")
+    asked = cut(wanted.select("v").distinct().select("v", F.monotonically_increasing_id().alias("id")), "queries")  # a number a vector, fixed as it is written
     home = asked.mapInArrow(dealt_queries(dim, splits, wide), "id long, v binary, block long").withColumn("floor", F.lit(float("-inf")))
     first = cut(_search(placed, home, k + 1, dim), "first")
     kth = first.groupBy(F.col("query").alias("q")).agg(F.count("*").alias("n"), F.min("score").alias("kth"))
@@ -241,17 +246,44 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
                 continue
             kind = np.promote_types(_exact(own, low), _exact(own, high))
             reach = np.maximum(own, 0).astype(kind) @ high.T.astype(kind) + np.minimum(own, 0).astype(kind) @ low.T.astype(kind)
-            r, c = np.nonzero((reach >= batch.column(3).to_numpy(zero_copy_only=False)[:, None]) & (names[None, :] != batch.column(2).to_numpy()[:, None]))
+            r, c = np.nonzero(reach >= batch.column(3).to_numpy(zero_copy_only=False)[:, None])
             r_ = pa.array(r)
-            yield pa.RecordBatch.from_arrays([pa.array(names[c]), batch.column(0).take(r_), batch.column(1).take(r_), batch.column(3).take(r_)], ["block", "id", "v", "floor"])
-
-    rest = _search(placed, onward.mapInArrow(routed, "block long, id long, v binary, floor double"), k + 1, dim)
-    order = lambda key: Window.partitionBy(key).orderBy(F.col("score").desc(), "vec_id")
-    best = first.unionAll(rest).withColumn("nth", F.row_number().over(order("query"))).filter(F.col("nth") <= k + 1)
-    best = cut(best.select("query", "vec_id", "score"), "best")
-    members = wanted.join(asked.select(F.col("v").alias("w"), F.col("id").alias("rep")), F.col("v") == F.col("w")).select(F.col("id").alias("query_id"), "rep")
-    out = members.join(best, F.col("rep") == F.col("query")).filter("vec_id <> query_id").withColumn("rank", F.row_number().over(order("query_id")))
-    return out.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            yield pa.RecordBatch.from_arrays([pa.array(names[c]), batch.column(0).take(r_), batch.column(1).take(r_), batch.column(2).take(r_), batch.column(3).take(r_)], ["shard", "id", "v", "home", "floor"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, lo, hi = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<i8").reshape(-1, dim) for i in (2, 4, 5))
+            kind = np.promote_types(_exact(own, lo), _exact(own, hi))
+            reach = (np.maximum(own, 0).astype(kind) * hi.astype(kind) + np.minimum(own, 0).astype(kind) * lo.astype(kind)).sum(axis=1)
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(reach >= batch.column(3).to_numpy(zero_copy_only=False)))
+
+    sent = onward.mapInArrow(routed, "shard long, id long, v binary, home long, floor double")
+    if wide == 1:
+        sent = sent.filter("shard <> home").select(F.col("shard").alias("block"), "id", "v", "floor")
+    else:
+        inner = own_boxes.select("block", "low", "high", F.expr(f"block div {wide}").alias("s"))
+        sent = sent.join(inner, F.col("shard") == F.col("s")).filter("block <> home").select("block", "id", "v", "floor", "low", "high").mapInArrow(within, "block long, id long, v binary, floor double")
+    rest = _search(placed, sent, k + 1, dim)
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
+    best = first.unionAll(rest).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1)
+    # a list a vector, best first; written, so that Spark can split the join with a vector that many rows have
+    lists = cut(best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))).alias("best")), "best")
+
+    def squared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8").reshape(-1, dim)
+            kind = _exact(own, own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((own.astype(kind) ** 2).sum(axis=1).astype(np.int64))], ["id", "v", "copies", "own"])
+
+    # rows of one id and vector have equal results; of a row's list one entry of its id and own score goes, another such row stays
+    rows_of = wanted.groupBy("id", "v").agg(F.count("*").alias("copies")).mapInArrow(squared, "id long, v binary, copies long, own long")
+    members = rows_of.join(asked.select(F.col("v").alias("w"), F.col("id").alias("rep")), F.col("v") == F.col("w")).select(F.col("id").alias("query_id"), "rep", "copies", "own")
+    out = members.join(lists, F.col("rep") == F.col("query"))
+    place = F.array_position("best", F.struct((-F.col("own")).alias("less"), F.col("query_id").alias("vec_id"))).cast("int")
+    others = F.when(F.col("place") > 0, F.concat(F.slice("best", F.lit(1), F.col("place") - 1), F.slice("best", F.col("place") + 1, F.lit(k + 1)))).otherwise(F.col("best"))
+    out = out.withColumn("place", place).select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), F.slice(others, 1, k).alias("best"))
+    out = out.select("query_id", F.posexplode("best").alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.less")).alias("score"))
 
 
 def dealt_queries(dim: int, splits: list[tuple[int, int]], wide: int):

@@ -167,8 +167,11 @@ def score(docs: DataFrame, model: np.ndarray, folds: int = 4, fold: int = 2, cut
         out = np.zeros(batch.num_rows)
         for row, end, buf, off in T.text_slices(batch.column(1)):
             bounds, index, value = features(buf, off)
-            total = np.concatenate(([0.0], np.cumsum(w[index] * value)))
-            out[row:end] = _logistic(np.diff(total[bounds]) + w[-1])
+            # each row is summed by itself, so that its score does not depend on its neighbours
+            total, has = np.zeros(end - row), np.flatnonzero(np.diff(bounds))
+            if len(has):
+                total[has] = np.add.reduceat(w[index].astype(np.float64) * value, np.asarray(bounds)[has])
+            out[row:end] = _logistic(total + w[-1])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,13 +6,16 @@ hashes that at least two labelled texts hold, the ``ROWS`` that part the classes
 numbers, all others count zero. Filters of each width in ``WIDTHS`` slide over the words, the largest value of each
 filter in the text is kept (max pooling over the whole text) and a logistic layer gives the score. One embedding
 coordinate starts from the log odds of the hash among the labelled texts, the others at random. Scores are shifted so that the best cut on labelled rows kept aside lies at
-0.7; for decisions a threshold for each language is calibrated on those rows too (``lang`` is not seen by the score).
+0.7; for decisions a threshold for each language
+is calibrated on the logits of those rows too, drawn towards the common one where a language has few (``lang`` is not
+seen by the score).
 
 Learning reads at most ``MAX_LABELLED`` labelled rows and ``MAX_BYTES`` of their text, the first by a hash of their id,
 in one task; the model has a fixed size of a few megabytes. Scoring reads every whole text.
 
 Defined cases: null and empty texts have no words and get the score of empty pools; null ids are never held out; null
-labels take no part, of several labels of an id the largest holds; with no labels or one class only every score is the
+labels take no part, of several labels of an id the largest holds; repeated rows are scored each; other columns play no
+part; an empty table gives no rows; with no labels or one class only every score is the
 share of label 1 (0.5 without any); languages that the labels lack, and null, use the common threshold.
 """
 
@@ -47,8 +50,8 @@ RATE = 0.05
 CUT = 0.7
 MAX_LABELLED = 12_000
 MAX_BYTES = 48 << 20
-#: Rows kept aside of a language and class that its own threshold needs.
-LEAST = 20
+#: Rows kept aside of a language and class that its own threshold needs, and those at which it counts as much as the common one.
+LEAST, POOLED = 3, 20
 
 _SIGN = np.zeros(256, dtype=bool)
 _SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -249,12 +252,16 @@ def train(texts: list[np.ndarray], label: np.ndarray, aside: np.ndarray, lang: n
     ready = Network.unpack(net.pack())
     logit = np.array([ready.logits(texts[i], np.array([0, len(texts[i])]))[0] for i in use])
     label, lang = label[use], lang[use]
-    net.shift = float(np.log(CUT / (1 - CUT)) - best_cut(logit, label))
-    score = 1 / (1 + np.exp(-np.clip(logit + net.shift, -35, 35)))
+    logit = logit.astype(np.float64)
+    common = float(best_cut(logit, label))
+    net.shift = float(np.log(CUT / (1 - CUT)) - common)
     for name in sorted({x for x in lang.tolist() if x}):
         own = lang == name
-        if min(np.sum(label[own] == 1), np.sum(label[own] == 0)) >= LEAST:
-            net.thresholds[name] = float(1 / (1 + np.exp(-best_cut(np.log(score[own] / (1 - score[own])), label[own]))))
+        n = min(int(np.sum(label[own] == 1)), int(np.sum(label[own] == 0)))
+        if n >= LEAST:
+            # the fewer rows a language has, the nearer its cut stays to that of all
+            cut = common + (float(best_cut(logit[own], label[own])) - common) * n / (n + POOLED)
+            net.thresholds[name] = float(1 / (1 + np.exp(-np.clip(cut + net.shift, -35, 35))))
     return net.pack()
 
 

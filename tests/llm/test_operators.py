@@ -105,6 +105,14 @@ def test_mix_reshares_what_a_source_cannot_use(spark):
     assert got["a"].target == 60 and got["c"].target == 60 and got["b"].target == pytest.approx(1040 - 120)
 
 
+def test_mix_takes_short_documents_more_often_and_fills_the_target(spark):
+    r = random.Random(3)
+    rows = [(i, "w " * r.choice([5, 40, 400]), "a") for i in range(3000)] + [(i + 5000, "w " * 50, "b") for i in range(3000)]
+    got = [x for x in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect() if x.source == "a"]
+    share = {n: sum(x.copies for x in got if x["size"] == n) / sum(x["size"] == n for x in got) for n in (5, 40, 400)}
+    assert share[5] > share[40] > share[400] > 0 and abs(sum(x.taken for x in got) - got[0].target) <= 5
+
+
 def test_decontaminate(spark, none):
     bench = [(1, "The train leaves Paris at 10 km past noon and then it meets Bob at 25 km from there again"), (2, None), (3, ""), (4, "short one"), (5, "7 8 9 10 11 12 13 14 15")]
     b = spark.createDataFrame(bench, "item_id long, text string")
@@ -256,6 +264,16 @@ def test_top_k(spark, monkeypatch):
     assert [tuple(x) for x in kdtree.top_k(few).collect()] == [(0, 1, 1, 8192)]
 
 
+def test_top_k_of_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "SHARD", 8)
+    r = random.Random(4)
+    rows = [(i % 45 if i < 90 else 20, [r.choice([-0.5, 0.25, 0.5]) for _ in range(3)]) for i in range(110)]
+    rows += [rows[0], rows[0]]
+    q = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows]
+    want = sorted((i, k, j, -s) for n, (i, v) in enumerate(q) if i % 20 == 0 for k, (s, j) in enumerate(sorted((-int(v @ w), j) for m, (j, w) in enumerate(q) if m != n)[:20], 1))
+    assert sorted(map(tuple, kdtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect())) == want
+
+
 def test_pfor_blocks():
     r = np.random.default_rng(0)
     for ids in (np.array([7]), np.zeros(100), r.integers(0, 50_000, 8192), np.where(r.random(5000) < 0.03, 2**31, r.integers(100, 130, 5000)), np.array([0, 2**32 - 1])):
