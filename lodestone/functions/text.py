@@ -5,10 +5,14 @@ from __future__ import annotations
 import sys
 import unicodedata
 from functools import cache
+from hashlib import blake2b
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
+#: Fixed value: what a search token is.
 TOKEN = r"\.?[a-zA-Z0-9_]+(?:[-./][a-zA-Z0-9_]+)*(?:\+\+|#)?"
 #: Every sign that counts as white space in text processing, also beyond ASCII.
 SPACES = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -64,6 +68,12 @@ def sha_id(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+@F.pandas_udf(LongType())
+def int64_id(text: pd.Series) -> pd.Series:
+    """A signed 64-bit number for a text id: its 8-byte BLAKE2b digest, little endian; null for null."""
+    return text.map(lambda t: None if t is None else int.from_bytes(blake2b(t.encode(), digest_size=8).digest(), "little", signed=True)).astype("Int64")
+
+
 def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1.0 / (1.0 + F.exp(-x))).otherwise(F.exp(x) / (1.0 + F.exp(x)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,22 +50,58 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, visible: DataFrame | Non
     return top_k(pairs.select("query_id", "int_id", dot(F.col("embedding"), F.col("vector")).alias("score")), k)
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def hash_embedding(text: pd.Series) -> pd.Series:
-    """A fixed stand-in for a text model: signed hashed counts of words, of length one; zeros for no words."""
+def embedder(load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]], dim: int = DIM, batch: int = 32) -> Callable[[Column], Column]:
+    """A column function of a text model that takes lists of up to ``batch`` texts. ``load`` runs once in a task; null texts count as empty.
+
+    Vectors are brought to length one; a model that gives vectors of another length than ``dim`` raises.
+    """
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in parts:
+            out: list[list[float]] = []
+            held = ["" if t is None else t for t in texts]
+            for at in range(0, len(held), batch):
+                v = np.asarray(model(held[at : at + batch]), np.float64).reshape(-1, dim)
+                if len(v) != len(held[at : at + batch]):
+                    raise ValueError(f"the model gave {len(v)} vectors of {dim} for {len(held[at : at + batch])} texts")
+                out += (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).tolist()
+            yield pd.Series(out, dtype=object)
+
+    return run
+
+
+def _hashed_words() -> Callable[[list[str]], Sequence[Sequence[float]]]:
     import xxhash
 
-    def one(t: str | None) -> list[float]:
-        v = np.zeros(DIM)
-        for w in (t or "").lower().split():
-            h = xxhash.xxh64_intdigest(w)
-            v[h % DIM] += 1.0 if h >> 63 else -1.0
-        return (v / max(np.linalg.norm(v), 1e-9)).tolist()
+    def model(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), DIM))
+        for v, t in zip(out, texts, strict=True):
+            for w in t.lower().split():
+                h = xxhash.xxh64_intdigest(w)
+                v[h % DIM] += 1.0 if h >> 63 else -1.0
+        return out
 
-    return text.map(one) if len(text) else text
+    return model
+
+
+#: A fixed stand-in for a text model: signed hashed counts of words; zeros for no words.
+hash_embedding = embedder(_hashed_words)
+
+
+def loaded(vectors: DataFrame, dim: int = DIM) -> DataFrame:
+    """A stored table of vectors (int_id, embedding); an empty one if any has another length than ``dim``, as an index of another model is not searched."""
+    other = vectors.filter(F.coalesce(F.size("embedding") != dim, F.lit(True)))
+    return vectors if other.isEmpty() else vectors.limit(0)
 
 
 def upserted(vectors: DataFrame, fresh: DataFrame, dim: int = DIM) -> DataFrame:
-    """One vector an id, the fresh one where there are two; fresh vectors of another length are left out."""
-    good = fresh.filter(F.size("embedding") == dim).dropDuplicates(["int_id"])
+    """One vector an id, the fresh one where there are two; fresh vectors of another length are left out.
+
+    Of several fresh vectors of an id the one of the highest ``seq`` holds, if there is such a column, else the greatest.
+    """
+    order = F.struct(*(["seq"] if "seq" in fresh.columns else []), "embedding")
+    rest = [c for c in vectors.columns if c != "int_id"]
+    good = fresh.filter(F.size("embedding") == dim).groupBy("int_id").agg(*(F.max_by(c, order).alias(c) for c in rest))
     return vectors.join(good.select("int_id"), "int_id", "left_anti").unionByName(good)

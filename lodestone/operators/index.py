@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.storage import work_path
+
+#: Folders that postings are dealt to by term, and query terms up to which these are named in the scan.
+PARTS, NAMED = 64, 1000
+_POSTINGS = "int_id long, term string, tf long, positions array<int>, doc_len long, part int"
 
 
 def tokens(docs: DataFrame, id_col: str = "int_id", text_col: str = "content") -> DataFrame:
@@ -53,3 +60,58 @@ def write_generation(index: DataFrame, folder: str, version: int, partitions: in
     path = f"{folder}/generation={version}"
     index.repartition(partitions, "term").sortWithinPartitions("term", "int_id").write.mode("overwrite").parquet(path)
     return path
+
+
+def _part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+
+
+@dataclass
+class Stored:
+    """An index that was built once: postings dealt to folders by term and sorted by it, and the statistics of all documents."""
+
+    spark: SparkSession
+    folder: str
+
+    @property
+    def docs(self) -> DataFrame:
+        """(int_id, doc_len)."""
+        return self.spark.read.parquet(f"{self.folder}/docs")
+
+    @property
+    def stats(self) -> DataFrame:
+        """One row, as of ``corpus_stats``."""
+        return self.spark.read.parquet(f"{self.folder}/stats")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.schema(_POSTINGS).parquet(f"{self.folder}/postings").filter("term is not null").drop("part")
+
+    def of(self, terms: DataFrame) -> DataFrame:
+        """Postings of the terms (term): the scan reads the folders of these terms only."""
+        rows = self.spark.read.schema(_POSTINGS).parquet(f"{self.folder}/postings")
+        wanted = terms.select("term", _part(F.col("term")).alias("part")).distinct()
+        named = wanted.limit(NAMED + 1).collect()
+        if len(named) <= NAMED:
+            rows = rows.filter(F.col("part").isin([r["part"] for r in named]) & F.col("term").isin([r["term"] for r in named]))
+        else:
+            rows = rows.join(wanted, ["part", "term"], "left_semi")
+        return rows.drop("part")
+
+
+def build(docs: DataFrame, folder: str | None = None) -> Stored:
+    """Build and write the index of documents (int_id, content); texts are tokenised once."""
+    spark = docs.sparkSession
+    folder = folder or work_path(spark, "index")
+    toks = tokens(docs)
+    rows = toks.select("int_id", F.size("tokens").cast("long").alias("doc_len"), F.posexplode_outer("tokens").alias("pos", "term"))
+    grouped = rows.groupBy("int_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("doc_len").alias("doc_len"))
+    # a folder whose terms are frequent is written by several tasks
+    dealt = grouped.withColumn("part", F.coalesce(_part(F.col("term")), F.lit(-1))).hint("rebalance", "part").sortWithinPartitions("part", "term", "int_id")
+    dealt.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings")
+    written = spark.read.schema(_POSTINGS).parquet(f"{folder}/postings")
+    written.groupBy("int_id").agg(F.first("doc_len").alias("doc_len")).write.mode("overwrite").parquet(f"{folder}/docs")
+    total, n = F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long"), F.count("*")
+    made = Stored(spark, folder)
+    made.docs.agg(n.alias("n_docs"), total.alias("total_tokens"), F.when(n > 0, total / n).otherwise(F.lit(0.0)).alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
+    return made

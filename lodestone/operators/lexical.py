@@ -34,20 +34,31 @@ def query_phrases(queries: DataFrame) -> DataFrame:
 class Lexical:
     """Statistics are those of the whole index, whoever asks; what a role may see is cut out before scores are summed."""
 
-    def __init__(self, docs: DataFrame) -> None:
-        self.tokens = I.tokens(docs)
+    def __init__(self, docs: DataFrame | I.Stored) -> None:
+        """Over documents, which are tokenised for every call, or over an index that is stored."""
+        self.stored = docs if isinstance(docs, I.Stored) else None
+        self.tokens = None if self.stored else I.tokens(docs)
+
+    def held(self, terms: DataFrame) -> DataFrame:
+        return self.stored.of(terms) if self.stored else I.postings(self.tokens, terms)
+
+    def stats(self) -> DataFrame:
+        return self.stored.stats if self.stored else I.corpus_stats(self.tokens)
+
+    def ids(self) -> DataFrame:
+        return (self.stored.docs if self.stored else self.tokens).select("int_id")
 
     def candidates(self, queries: DataFrame) -> DataFrame:
         """(query_id, int_id) of every document with a term of the query."""
         terms = query_terms(queries)
-        return I.postings(self.tokens, terms).join(terms, "term").select("query_id", "int_id").distinct()
+        return self.held(terms).join(terms, "term").select("query_id", "int_id").distinct()
 
     def scores(self, queries: DataFrame, visible: DataFrame | None = None, boost: float = PHRASE_BOOST) -> DataFrame:
         """(query_id, int_id, score); visible is (query_id, int_id) or (int_id)."""
         terms = query_terms(queries)
-        held = I.postings(self.tokens, terms)
+        held = self.held(terms)
         df = held.groupBy("term").agg(F.count("*").alias("df"))
-        stats = I.corpus_stats(self.tokens)
+        stats = self.stats()
         hits = held.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))
         if visible is not None:
             hits = hits.join(visible, visible.columns, "left_semi")
@@ -57,7 +68,7 @@ class Lexical:
         phrases = known.groupBy("query_id", "phrase_no").agg(F.sort_array(F.collect_list(F.struct("i", "term"))).alias("t")).select("query_id", F.col("t.term").alias("terms")).filter(F.size("terms") > 1)
         by_query = phrases.groupBy("query_id").agg(F.collect_list("terms").alias("phrases"))
         chain = lambda t: F.aggregate(
-            F.slice(t, 2, 1000), F.try_element_at("where", F.get(t, 0)), lambda acc, nxt: F.array_intersect(F.transform(acc, lambda p: p + 1), F.try_element_at("where", nxt))
+            F.slice(t, F.lit(2), F.size(t)), F.try_element_at("where", F.get(t, 0)), lambda acc, nxt: F.array_intersect(F.transform(acc, lambda p: p + 1), F.try_element_at("where", nxt))
         )
         gain = F.aggregate(F.coalesce("phrases", F.array().cast("array<array<string>>")), F.lit(0.0), lambda acc, t: acc + F.when(F.size(chain(t)) > 0, boost * F.size(t)).otherwise(0.0))
         return base.join(by_query, "query_id", "left").select("query_id", "int_id", (F.col("score") + gain).alias("score"))

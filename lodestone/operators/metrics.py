@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Cells of the histogram that finds a place.
+CELLS = 4096
+
+
 def _marked(ranked: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, rank, hit, int_id, n_rel); a query without rows has one of nulls."""
     rel = relevant.select("query_id", "int_id").distinct()
@@ -61,16 +67,38 @@ def known_item(rows: DataFrame, wanted: Column, queries: DataFrame) -> DataFrame
     return queries.select("query_id").join(first, "query_id", "left").select("query_id", F.coalesce("rr", F.lit(0.0)).alias("rr"))
 
 
-def ranked_value(df: DataFrame, value: str, place: Column, keys: list[str]) -> DataFrame:
-    """The value at a 0-based place (over n) of each group in ascending order, by a window, so no group is gathered in a list."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    rows = df.withColumn("i", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    return rows.filter(F.col("i") == place).select(*keys, F.col(value).alias("v"))
+def ranked_values(df: DataFrame, value: str, places: dict[str, Column], keys: list[str]) -> DataFrame:
+    """(keys, names): the values at 0-based places (over n) of each group's values in ascending order; nulls take no part.
+
+    A histogram finds the cell that a place falls in, and the counts of the values of that cell the value, so no group is
+    put in order as a whole or gathered in one task.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x"))
+    span = rows.groupBy(*keys).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n"))
+    same = lambda left, right: F.lit(True) if not keys else functools.reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
+    wide = F.col("high") - F.col("low")
+    cell = F.when(wide > 0, F.least(F.floor((F.col("x") - F.col("low")) / wide * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0)).cast("long")
+    a, b = rows.alias("a"), span.alias("b")
+    placed = a.join(b, same(a, b)).select(*(F.col(f"a.{k}").alias(k) for k in keys), "x", "n", cell.alias("cell"))
+    upto = F.sum("held").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("cell"))
+    cells = placed.groupBy(*keys, "cell").agg(F.count("*").alias("held"), F.first("n").alias("n")).withColumn("upto", upto)
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), place.cast("long").alias("place")) for name, place in places.items())))
+    found = cells.withColumn("w", wanted).filter((F.col("w.place") < F.col("upto")) & (F.col("w.place") >= F.col("upto") - F.col("held")))
+    found = found.select(*keys, "cell", F.col("w.name").alias("name"), (F.col("w.place") - F.col("upto") + F.col("held")).alias("left"))
+    c, d = placed.groupBy(*keys, "cell", "x").agg(F.count("*").alias("held")).alias("c"), found.alias("d")
+    inner = c.join(d, same(c, d) & (F.col("c.cell") == F.col("d.cell"))).select(*(F.col(f"c.{k}").alias(k) for k in keys), "name", "x", "held", "left")
+    inner = inner.withColumn("upto", F.sum("held").over(Window.partitionBy(*keys, "name").orderBy("x")))
+    at = inner.filter((F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("held")))
+    return at.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, F.col("x"))).alias(name) for name in places))
 
 
 def latency(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """(keys, n, mean, median, p50_place, p95_place, p50_linear, p95_linear) by exact percentiles from counts of values."""
-    exact = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.95).alias("p95_linear"))
-    p50 = ranked_value(df, value, F.floor(F.col("n") / 2), keys).withColumnRenamed("v", "p50_place")
-    p95 = ranked_value(df, value, F.floor(F.col("n") * 0.95), keys).withColumnRenamed("v", "p95_place")
-    return exact.join(p50, keys).join(p95, keys).withColumn("p50_linear", F.col("median"))
+    """(keys, n, mean, median, p50_place, p95_place, p50_linear, p95_linear); percentiles are exact."""
+    n = F.col("n")
+    linear = {"p50": (n - 1) * 0.5, "p95": (n - 1) * 0.95}
+    places = {"p50_place": F.floor(n / 2), "p95_place": F.floor(n * 0.95)} | {f"{k}_{side}": f(p) for k, p in linear.items() for side, f in (("low", F.floor), ("high", F.ceil))}
+    exact = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    both = exact.join(ranked_values(df, value, places, keys), keys)
+    between = lambda k: F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * (linear[k] - F.floor(linear[k]))
+    both = both.withColumns({"p50_linear": between("p50"), "p95_linear": between("p95")})
+    return both.select(*keys, "n", "mean", F.col("p50_linear").alias("median"), "p50_place", "p95_place", "p50_linear", "p95_linear")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 
+#: Rows that are scored anew, the logit that a row without a score counts, the confidences of the gate.
 PRUNE = 15
 NO_LOGIT = -99.0
+CORRECT, AMBIGUOUS = 0.75, 0.30
 #: The texts that a language model and a reader get.
 SYSTEM = (
     "You are a highly accurate internal search assistant. Answer strictly using the provided documents. If the documents do not contain the answer, "
@@ -24,13 +27,30 @@ def candidate_text(title: Column, snippet: Column, content: Column) -> Column:
     return F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit("")), F.coalesce(content, F.lit("")))
 
 
-def overlap_score(query_terms: Column, text: Column) -> Column:
+def overlap_score(query: Column, text: Column) -> Column:
     """A fixed stand-in for a cross-encoder: share of the query's terms among the text's tokens, as a log odds."""
+    terms = F.array_distinct(X.tokenize(query))
     tokens = X.tokenize(X.truncated(text))
-    share = F.size(F.array_intersect(query_terms, tokens)) / F.greatest(F.size(query_terms), F.lit(1))
+    share = F.size(F.array_intersect(terms, tokens)) / F.greatest(F.size(terms), F.lit(1))
     return X.logit(share)
 
 
+def cross_encoder(load: Callable[[], Callable[[list[tuple[str, str]]], Sequence[float]]], batch: int = 16) -> Callable[[Column, Column], Column]:
+    """A scorer of a model that takes lists of up to ``batch`` pairs (query, text) and gives probabilities; ``load`` runs once in a task."""
+
+    @F.pandas_udf("double")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for queries, texts in parts:
+            pairs = list(zip(queries.fillna(""), texts.fillna(""), strict=True))
+            out: list[float] = []
+            for at in range(0, len(pairs), batch):
+                out += [float(p) for p in model(pairs[at : at + batch])]
+            yield pd.Series(out, dtype="float64")
+
+    return lambda query, text: X.logit(run(query, X.truncated(text)))
+
+
 def reranked(rows: DataFrame, top_k: int = 0) -> DataFrame:
     """Rows (query_id, doc_id, rerank_score) in new places: highest score first, without score last, ties by doc_id as text; top_k 0 keeps all."""
     w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc_nulls_last(), F.col("doc_id").cast("string"))
@@ -41,14 +61,14 @@ def reranked(rows: DataFrame, top_k: int = 0) -> DataFrame:
 def confidence(logit: Column) -> Column:
     """Struct of score and status of a logit."""
     p = X.sigmoid(logit)
-    return F.struct(p.alias("score"), F.when(p >= 0.75, "CORRECT").when(p >= 0.30, "AMBIGUOUS").otherwise("INCORRECT").alias("status"))
+    return F.struct(p.alias("score"), F.when(p >= CORRECT, "CORRECT").when(p >= AMBIGUOUS, "AMBIGUOUS").otherwise("INCORRECT").alias("status"))
 
 
 def fallback(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, overall_confidence, fallback_triggered) by the first place of each query; a missing logit counts -99, no rows as no confidence."""
     best = rows.groupBy("query_id").agg(F.min_by(F.coalesce("rerank_score", F.lit(NO_LOGIT)), "place").alias("logit"))
     sure = F.coalesce(confidence(F.col("logit"))["score"], F.lit(0.0))
-    return queries.select("query_id").join(best, "query_id", "left").select("query_id", sure.alias("overall_confidence"), (sure < 0.30).alias("fallback_triggered"))
+    return queries.select("query_id").join(best, "query_id", "left").select("query_id", sure.alias("overall_confidence"), (sure < AMBIGUOUS).alias("fallback_triggered"))
 
 
 def prompts(rows: DataFrame, queries: DataFrame, top: int = 3) -> DataFrame:
@@ -63,7 +83,8 @@ def prompts(rows: DataFrame, queries: DataFrame, top: int = 3) -> DataFrame:
 def framed(message: Column) -> Column:
     """Array of the stream's frames: each word, then the end."""
     words = F.filter(F.split(message, r"\s+"), lambda w: w != "")
-    frames = F.transform(words, lambda w: F.concat(F.lit('data: {"token": "'), w, F.lit(' "}\n\n')))
+    token = lambda w: F.regexp_replace(F.to_json(F.struct(F.concat(w, F.lit(" ")).alias("token"))), r'^\{"token":', '{"token": ')
+    frames = F.transform(words, lambda w: F.concat(F.lit("data: "), token(w), F.lit("\n\n")))
     return F.concat(frames, F.array(F.lit("data: [DONE]\n\n")))
 
 

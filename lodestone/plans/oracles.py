@@ -147,7 +147,28 @@ SELECT coalesce(int_id, (SELECT max(int_id) FROM corpus) + row_number() OVER (PA
   CASE WHEN action IN ('inserted', 'updated') THEN h ELSE content_hash END AS content_hash, CASE WHEN action IN ('inserted', 'updated') THEN r ELSE allowed_roles END AS allowed_roles,
   CASE action WHEN 'inserted' THEN 1 WHEN 'updated' THEN version + 1 ELSE version END::BIGINT AS version, CASE WHEN action IN ('inserted', 'updated') THEN false ELSE is_deleted END AS is_deleted,
   CASE WHEN action IN ('inserted', 'updated') THEN 'PENDING' ELSE indexing_status END AS indexing_status, action FROM j"""
-_ESCAPED = "replace(replace(replace(replace(replace(substring(content, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')"
+#: The planted web level by level: pages answered at each depth (redirects lead to the next page), and links met there.
+_WEB = """web AS (SELECT page_id AS n, CASE WHEN page_id % 11 = 5 THEN 404 WHEN page_id % 11 = 8 THEN 301 ELSE 200 END AS st, page_id % 13 = 6 AS file FROM pages),
+l0 AS (SELECT 0::BIGINT AS n)"""
+
+
+def _level(d: int) -> str:
+    """Tables of depth d: answers (verdict, page), pages, links, and the next frontier."""
+    seen = " UNION ".join(f"SELECT n FROM l{k} UNION SELECT n FROM p{k}" for k in range(d + 1))
+    return f"""
+h{d} AS (SELECT l.n, CASE WHEN w.st = 301 THEN l.n + 1 ELSE l.n END AS place, starts_with(l.n::VARCHAR, '3') AS barred FROM l{d} l LEFT JOIN web w USING (n)),
+a{d} AS (SELECT h.place, CASE WHEN barred THEN 'reject' WHEN w.n IS NULL OR w.st <> 200 THEN 'fail' WHEN w.file THEN 'reject' ELSE 'accept' END AS verdict FROM h{d} h LEFT JOIN web w ON w.n = h.place),
+p{d} AS (SELECT place AS n FROM a{d} WHERE verdict = 'accept'),
+k{d} AS (SELECT unnest([2 * n + 1, 2 * n + 2, 0]) AS n FROM p{d}),
+s{d} AS ({seen}),
+l{d + 1} AS (SELECT DISTINCT n FROM k{d} WHERE n NOT IN (SELECT n FROM s{d}))"""
+
+
+_CRAWLED = f"WITH {_WEB},{','.join(_level(d) for d in range(4))}"
+_DEPTHS = " UNION ALL ".join(f"SELECT n, {d}::BIGINT AS depth FROM p{d}" for d in range(4))
+_ANSWERS = " UNION ALL ".join(f"SELECT verdict FROM a{d}" for d in range(4))
+_MET = " UNION ALL ".join(f"SELECT (SELECT count(*) FROM k{d}) AS met, (SELECT count(*) FROM l{d + 1}) AS fresh" for d in range(3))
+_ESCAPED = "replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')"
 _PRUNED = f"""WITH {_BOTH}, {_top("lx", "lexq", 500, PAGE_ROLE)}, {_top("dn", "dots", 500, PAGE_ROLE)}, {_weighted("fu", "lx", "dn", 0.4)}, {_top("rk", "fu", 150)}, {_shown("rk", 15, 0)},
 p AS (SELECT *, regexp_extract_all(lower(substring(title || chr(10) || snippet || chr(10) || content, 1, 4000)), '{TOKEN}') AS tx FROM cut),
 sh AS (SELECT *, least(greatest(len(list_intersect(tl, tx)) / greatest(len(tl), 1)::DOUBLE, 1e-9), 1 - 1e-9) AS pr FROM p),
@@ -163,6 +184,11 @@ ORACLES: dict[str, str] = {
   'hash_' || i AS content_hash, r AS allowed_roles, 'PENDING' AS indexing_status FROM (SELECT i, ['Admin', 'HR', 'Engineering', 'Public', 'Finance'][i % 5 + 1] AS r FROM range(24000) t(i))""",
     "eval_dataset": _CTE + "SELECT item_id AS query_id, int_id FROM live JOIN benchmark ON contains(content, text)",
     "weak_qrels": _CTE + "SELECT DISTINCT query, id FROM live JOIN (VALUES ('the of', 'the '), ('the of', 'of '), ('der die', 'der'), ('der die', 'die'), ('none', 'zzzz')) k(query, kw) ON contains(lower(coalesce(title, '')), kw)",
+    "crawl_pages": _CRAWLED + f" SELECT 'http://web.example.com/docs/' || n AS url, min(depth) AS depth, 'Page ' || n AS title, 't x x x' AS content FROM ({_DEPTHS}) GROUP BY n",
+    "crawl_ingest": _CRAWLED
+    + f""" SELECT (SELECT count(*) FROM ({_DEPTHS})) AS pages_crawled, (SELECT count(DISTINCT n) FROM ({_DEPTHS})) AS pages_stored, (SELECT count(*) FROM ({_DEPTHS})) AS fetched,
+  count(*) FILTER (verdict = 'fail') AS failed, count(*) FILTER (verdict = 'reject') AS rejected, (SELECT sum(met)::BIGINT FROM ({_MET})) AS discovered, (SELECT (sum(met) - sum(fresh))::BIGINT FROM ({_MET})) AS duplicates_avoided FROM ({_ANSWERS})""",
+    "safe_ip": "SELECT * FROM (VALUES ('127.0.0.1', false), ('::1', false), ('192.168.1.5', false), ('10.0.0.1', false), ('172.16.0.5', false), ('169.254.169.254', false), ('8.8.8.8', true), ('224.0.0.1', false), ('2606:4700::1111', true), ('not an address', false)) t(address, safe)",
     "fetch_policy": """SELECT event_id, CASE WHEN st IN (301, 302) THEN CASE WHEN event_id % 7 >= 5 THEN 'fail' WHEN event_id % 3 = 0 THEN 'drop' ELSE 'follow' END
   WHEN st = 200 THEN CASE WHEN event_id % 5 = 0 THEN 'reject' WHEN event_id * 5000 > 5242880 THEN 'reject' ELSE 'accept' END WHEN st IN (429, 503) THEN CASE WHEN event_id % 4 >= 3 THEN 'fail' ELSE 'retry' END ELSE 'fail' END AS decision
   FROM (SELECT event_id, [200, 200, 301, 404, 429, 503, 302, 200][event_id % 8 + 1] AS st FROM events)""",
@@ -220,7 +246,7 @@ ORACLES: dict[str, str] = {
     "search_lexical": f"WITH {QTERMS}, {_top('rk', 'scored', 500, PAGE_ROLE)}, {_shown('rk', 20, 0, 'example.com')} {_LISTED}",
     "search_dense": f"WITH {CORPUS}, {DENSE}, {_top('rk', 'dots', 500, PAGE_ROLE)}, {_shown('rk', 20, 5)} {_LISTED}",
     "search_hybrid": f"WITH {_BOTH}, {_top('lx', 'lexq', 500, PAGE_ROLE)}, {_top('dn', 'dots', 500, PAGE_ROLE)}, {_weighted('fu', 'lx', 'dn', 0.4)}, {_top('rk', 'fu', 500)}, {_shown('rk', 20, 0)} {_LISTED}",
-    "rerank_text": _CTE + "SELECT int_id, sha256(substring(title || chr(10) || substring(content, 1, 150) || chr(10) || content, 1, 4000)) AS text_hash FROM live",
+    "rerank_text": f"WITH {CORPUS}, t AS (SELECT * FROM live), {_snippet('content', "['heat', 'ndnd', 'schpf', 'the', 'et']")} SELECT int_id, sha256(substring(title || chr(10) || snippet || chr(10) || content, 1, 4000)) AS text_hash FROM cut",
     "search_reranked": _PRUNED + " SELECT query_id, int_id AS doc_id, round(score, 6) AS score, round(rerank_score, 5) AS rerank_score, np AS place FROM rr WHERE np <= 10",
     "rerank_sort": _CTE + "SELECT * FROM (SELECT int_id % 7 AS query_id, int_id AS doc_id, s AS rerank_score, row_number() OVER (PARTITION BY int_id % 7 ORDER BY s DESC NULLS LAST, int_id::VARCHAR) AS place FROM (SELECT int_id, CASE WHEN int_id % 11 > 0 THEN (length(content) % 13)::DOUBLE END AS s FROM live)) WHERE place <= 25",
     "crag_fallback": _PRUNED + ", c AS (SELECT q.query_id, coalesce(1 / (1 + exp(-rerank_score)), 0) AS p FROM qvec q LEFT JOIN (SELECT * FROM rr WHERE np = 1) USING (query_id)) SELECT query_id, round(p, 5) AS overall_confidence, p < 0.3 AS fallback_triggered FROM c",

@@ -37,11 +37,22 @@ def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, int_id): vectors of the label of the query's own vector, without that one."""
     v = corpus.vectors(spark, sf_dir).select("int_id", "label")
     q = asked(spark, sf_dir).join(v.withColumnRenamed("label", "l"), F.col("int_id") == F.col("query_id") * 10).select("query_id", "l", F.col("int_id").alias("own"))
-    return v.join(F.broadcast(q.limit(100)), (F.col("label") == F.col("l")) & (F.col("int_id") != F.col("own"))).select("query_id", "int_id")
+    return v.join(corpus.listed(q), (F.col("label") == F.col("l")) & (F.col("int_id") != F.col("own"))).select("query_id", "int_id")
+
+
+_built: dict[tuple, index.Stored] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> index.Stored:
+    """The index of the live documents; built at the first call of a session for these files."""
+    key = (spark.sparkContext.applicationId, *sorted(corpus.table(spark, sf_dir, "documents").inputFiles()))
+    if key not in _built:
+        _built[key] = index.build(live(spark, sf_dir))
+    return _built[key]
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    return Engine(corpus.store(spark, sf_dir), corpus.vectors(spark, sf_dir))
+    return Engine(corpus.store(spark, sf_dir), corpus.vectors(spark, sf_dir), lambda: stored(spark, sf_dir))
 
 
 def live(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +147,35 @@ def crawl_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.crawl_counts(p, p.select("page_id"))
 
 
+def _planted_web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fetch log by page numbers: page n links n's two children and page 0; some answers are errors, files or redirects to the next page."""
+    i = F.col("page_id")
+    url = lambda n: F.concat(F.lit("http://web.example.com/docs/"), n.cast("string"))
+    link = lambda n: F.concat(F.lit('<a href="/docs/'), n.cast("string"), F.lit('/#top">x</a>'))
+    text = F.concat(F.lit("<title>Page "), i.cast("string"), F.lit("</title><body>t "), link(2 * i + 1), link(2 * i + 2), link(F.lit(0)), F.lit("</body>"))
+    status = F.when(i % 11 == 5, 404).when(i % 11 == 8, 301).otherwise(200)
+    return corpus.table(spark, sf_dir, "pages").filter("page_id is not null").select(
+        url(i).alias("url"), text.alias("html"), status.alias("status"), F.when(i % 13 == 6, "application/pdf").otherwise("text/html").alias("content_type"), F.when(i % 11 == 8, F.concat(F.lit("/docs/"), (i + 1).cast("string"))).alias("location"),
+    )
+
+
+def _robots(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("web.example.com", "User-agent: *\nDisallow: /docs/3", 200)], "host string, body string, status int")
+
+
+@query
+def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, _ = crawl.run(_planted_web(spark, sf_dir), ["http://web.example.com/docs/0"], 3, 50, ["example.com"], _robots(spark))
+    return pages.select("url", F.col("depth").cast("long").alias("depth"), "title", "content")
+
+
+@query
+def crawl_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer to a crawl request over the document store."""
+    _, counts = crawl.ingest_pages(corpus.store(spark, sf_dir), _planted_web(spark, sf_dir), "http://web.example.com/docs/0", 50, 3, True, _robots(spark))
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts))
+
+
 @query
 def fetch_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
@@ -325,7 +365,7 @@ def postings_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lexical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.Lexical(live(spark, sf_dir)).candidates(asked(spark, sf_dir))
+    return lexical.Lexical(stored(spark, sf_dir)).candidates(asked(spark, sf_dir))
 
 
 @query
@@ -336,7 +376,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = asked(spark, sf_dir).filter(F.contains("query", F.lit('"')))
-    return lexical.Lexical(live(spark, sf_dir)).scores(q).select("query_id", "int_id", six("score"))
+    return lexical.Lexical(stored(spark, sf_dir)).scores(q).select("query_id", "int_id", six("score"))
 
 
 # dense and fusion ----------------------------------------------------------------------------------------------------
@@ -352,7 +392,7 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = corpus.vectors(spark, sf_dir)
     q = asked_with_vectors(spark, sf_dir).select("query_id", "vector")
-    return v.crossJoin(F.broadcast(q.limit(100))).select("query_id", "int_id", F.round(dense.cosine(F.col("embedding"), F.col("vector")), 6).alias("cosine"))
+    return v.crossJoin(corpus.listed(q)).select("query_id", "int_id", F.round(dense.cosine(F.col("embedding"), F.col("vector")), 6).alias("cosine"))
 
 
 @query
@@ -369,7 +409,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = live(spark, sf_dir).select("int_id", dense.hash_embedding("content").alias("v"))
-    return v.select("int_id", F.size("v").alias("dim"), F.round(dense.norm(F.col("v")), 6).alias("norm"))
+    return v.select("int_id", F.posexplode("v").alias("i", "x")).filter("x <> 0").select("int_id", F.col("i").cast("long").alias("i"), six("x"))
 
 
 @query
@@ -439,7 +479,7 @@ def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = F.array(F.lit("the"), F.lit("et"), F.lit("&amp"))
-    return live(spark, sf_dir).select("int_id", X.highlight(F.substring("content", 1, 200), terms).alias("html"))
+    return live(spark, sf_dir).select("int_id", X.highlight(F.col("content"), terms).alias("html"))
 
 
 @query
@@ -459,8 +499,9 @@ def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rerank_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = rerank.candidate_text(F.col("title"), F.substring("content", 1, 150), F.col("content"))
-    return live(spark, sf_dir).select("int_id", X.sha_id(X.truncated(text)).alias("text_hash"))
+    s = X.snippet(F.col("content"), F.array(*map(F.lit, ("heat", "ndnd", "schpf", "the", "et"))))
+    rows = live(spark, sf_dir).select("int_id", "title", "content", s.alias("s"))
+    return rows.select("int_id", X.sha_id(X.truncated(rerank.candidate_text(F.col("title"), F.col("s.text"), F.col("content")))).alias("text_hash"))
 
 
 @query

@@ -75,6 +75,36 @@ def synthetic(spark: SparkSession, n: int) -> DataFrame:
     )
 
 
+#: The topics of the row-security corpus.
+TOPICS = ("bonus", "architecture", "holiday", "layoff", "revenue", "roadmap", "cafeteria")
+
+
+def role_corpus(spark: SparkSession, n: int = 100, seed: int = 42) -> DataFrame:
+    """The row-security test corpus: n documents whose roles and topics are drawn by a seeded hash, so that runs agree."""
+    i = F.col("id")
+    draw = lambda salt, values: _pick(F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(len(values))), values)
+    rows = spark.range(n).select(i, draw(1, ROLES).alias("role"), draw(2, TOPICS).alias("topic"))
+    return rows.select(
+        i.alias("int_id"), F.concat(F.lit("doc_"), i).alias("id"), F.concat(F.lit("http://internal/"), i).alias("url"), F.concat(F.lit("Topic: "), F.col("topic")).alias("title"),
+        F.concat(F.lit("Detailed confidential document about "), F.col("topic"), F.lit(" for "), F.col("role"), F.lit(" only.")).alias("content"),
+        F.concat(F.lit("hash_"), i).alias("content_hash"), F.col("role").alias("allowed_roles"), F.lit("PENDING").alias("indexing_status"),
+    )
+
+
+def judged_corpus(spark: SparkSession, corpus_path: str, queries_path: str, qrels_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, title, text, content), (query_id, query) and (query_id, doc_id, score) of a judged corpus in the usual three files.
+
+    Corpus and queries are JSON lines with _id, title and text, judgements tab-separated with a header query-id, corpus-id,
+    score. Judgements of documents that the corpus lacks or of no relevance are left out, and queries without any left.
+    """
+    docs = spark.read.schema("_id string, title string, text string").json(corpus_path)
+    docs = docs.select(F.col("_id").alias("doc_id"), "title", "text", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("content"))
+    marks = spark.read.option("header", True).option("sep", "\t").schema("`query-id` string, `corpus-id` string, score int").csv(qrels_path)
+    rel = marks.select(F.col("query-id").alias("query_id"), F.col("corpus-id").alias("doc_id"), "score").filter("score > 0").join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("query_id", "doc_id", "score")
+    asked = spark.read.schema("_id string, text string").json(queries_path).select(F.col("_id").alias("query_id"), F.col("text").alias("query"))
+    return docs, asked.join(rel.select("query_id").distinct(), "query_id", "left_semi"), rel
+
+
 def random_unit_vectors(spark: SparkSession, n: int, dim: int = 384, seed: int = 42) -> DataFrame:
     raw = spark.range(n).select(F.col("id").alias("int_id"), F.array(*(F.rand(seed + k) for k in range(dim))).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))

@@ -9,8 +9,12 @@ from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.functions import urls as U
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What is left out of a text and where it is looked for, by crawl and by document rules, and links that lead nowhere.
 CRAWL = {"drop": ("script", "style", "noscript", "template", "nav", "header", "footer"), "roots": (("main", None), ("div", "body"), ("article", None), ("body", None)), "squeeze": True}
 DOCS = {"drop": ("script", "style"), "roots": (("div", "body"), ("main", None), ("div", "document"), ("body", None)), "squeeze": False}
 _SKIP = ("javascript:", "mailto:", "tel:", "#")
@@ -119,12 +123,29 @@ def links(pages: DataFrame) -> DataFrame:
 
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(p, i, x) for p, u, h in zip(f["page_id"], f["url"], f["html"], strict=True) for i, x in enumerate(filter(None, (resolved(r, u or "") for r in parse(h).links)))]
-            yield pd.DataFrame(rows, columns=["page_id", "link_no", "link"]).astype({"page_id": "int64", "link_no": "int64"})
+            rows = [(None if pd.isna(p) else int(p), i, x) for p, u, h in zip(f["page_id"], f["url"], f["html"], strict=True) for i, x in enumerate(filter(None, (resolved(r, u or "") for r in parse(h).links)))]
+            yield pd.DataFrame(rows, columns=["page_id", "link_no", "link"]).astype({"page_id": "Int64", "link_no": "int64"})
 
     return pages.select("page_id", "url", "html").mapInPandas(over, "page_id long, link_no long, link string")
 
 
+def named(pages: DataFrame) -> DataFrame:
+    """(url, title, content, links) of fetched pages (url, place, html): a page goes by the canonical url that it names, else by its place; links are absolute."""
+
+    def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for place, text in zip(f["place"], f["html"], strict=True):
+                tree = parse(text)
+                own = resolved(tree.canonical, place) if tree.canonical else None
+                base = own if own and own.startswith(("http://", "https://")) else place
+                out.append((base, *extract(tree, CRAWL), [x for x in (resolved(r, base) for r in tree.links) if x]))
+            yield pd.DataFrame(out, columns=["url", "title", "content", "links"])
+
+    rows = pages.select("place", "html").mapInPandas(over, "url string, title string, content string, links array<string>")
+    return rows.select(U.normalized(F.col("url")).alias("url"), "title", "content", "links")
+
+
 def canonical(pages: DataFrame) -> DataFrame:
     """(page_id, canonical_url): absolute, null where the page names none."""
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
+import random
+import shutil
 
 import pytest
 from hypothesis import given, settings
@@ -323,3 +326,152 @@ def test_lists_are_used_whole(spark, monkeypatch):
     assert dense.knn(vectors, spark.range(n).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("vector")), 1).count() == n
     asked = spark.range(n).select(F.concat(F.lit("q"), F.col("id")).alias("query"), F.array(F.lit("t")).alias("keywords"))
     assert corpus.weak_qrels(spark.createDataFrame([("a", "t")], "id string, title string"), asked).count() == n
+
+
+def test_stored_index_equals_the_one_on_the_fly(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame(DOCS, "int_id long, content string")
+    built, plain = index.build(docs, str(tmp_path / "i")), lexical.Lexical(docs)
+    key = lambda df: sorted(map(repr, df.collect()))
+    q = ask(spark, "python database python", '"a language" zzz', "")
+    for named in (index.NAMED, 1):
+        monkeypatch.setattr(index, "NAMED", named)
+        assert key(lexical.Lexical(built).scores(q)) == key(plain.scores(q)) and key(lexical.Lexical(built).candidates(q)) == key(plain.candidates(q))
+    assert key(built.stats) == key(plain.stats()) and key(built.docs.select("int_id")) == key(plain.ids())
+    cols = ["int_id", "term", "tf", "positions", "doc_len"]
+    assert key(built.postings.select(cols)) == key(index.postings(index.tokens(docs)).select(cols))
+    none = index.build(docs.limit(0), str(tmp_path / "none"))
+    assert lexical.Lexical(none).scores(q).count() == 0 and none.stats.first().n_docs == 0
+    parts = built.of(q.selectExpr("'python' AS term")).inputFiles()
+    assert all("part=" in p for p in parts)
+
+
+def test_long_phrases_are_matched_whole(spark):
+    words = [f"t{i}" for i in range(1100)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "other", words[-1]]))], "int_id long, content string")
+    got = {r.int_id: r.score for r in lexical.Lexical(docs).scores(ask(spark, f'"{" ".join(words)}"')).collect()}
+    assert got[1] - got[2] == pytest.approx(5 * 1100, abs=1)
+
+
+def test_places_and_percentiles(spark):
+    import numpy as np
+
+    r = random.Random(5)
+    groups = {"a": [r.random() for _ in range(501)], "b": [1.0] * 40 + [9.0], "c": [float(r.randrange(5)) for _ in range(60)], "d": [3.5], "e": [1e300, -1e300, 0.0, 5.0]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", None)]
+    got = {x.k: x for x in metrics.latency(spark.createDataFrame(rows, "k string, v double").repartition(4), "v", ["k"]).collect()}
+    for k, vs in groups.items():
+        s = sorted(vs)
+        assert (got[k].n, got[k].p50_place, got[k].p95_place) == (len(s), s[len(s) // 2], s[int(len(s) * 0.95)])
+        assert (got[k].median, got[k].p95_linear) == pytest.approx((np.percentile(s, 50), np.percentile(s, 95)))
+
+
+def test_crawl_policy_robots_and_counters(spark):
+    link = lambda *to: "<title>T</title><body>t " + "".join(f"<a href='{t}'>x</a>" for t in to) + "</body>"
+    web = [
+        ("http://h/a", link("/b", "/c", "/no", "/pdf", "/gone", "/r1", "http://10.0.0.1/x", "http://other/x", "/b#again", "mailto:m"), 200, "text/html", None),
+        ("http://h/b", link("/a", "/deep"), 200, "text/html", None), ("http://h/c", "<link rel='canonical' href='/b2'>" + link(), 200, "Text/HTML", None),
+        ("http://h/no", link(), 200, "text/html", None), ("http://h/pdf", "x", 200, "application/pdf", None), ("http://h/gone", "", 404, "text/html", None),
+        ("http://h/r1", "", 301, None, "/r2"), ("http://h/r2", "", 302, None, "http://h/end"), ("http://h/end", link(), 200, "text/html", None), ("http://h/deep", link(), 200, "text/html", None),
+    ]
+    pages = spark.createDataFrame(web, "url string, html string, status int, content_type string, location string")
+    robots = spark.createDataFrame([("h", "User-agent: *\nDisallow: /no", 200)], "host string, body string, status int")
+    got, counts = crawl.run(pages, ["http://h/a"], 1, 50, ["h"], robots)
+    assert {(r.url, r.depth) for r in got.collect()} == {("http://h/a", 0), ("http://h/b", 1), ("http://h/b2", 1), ("http://h/end", 1)}
+    assert counts == {"fetched": 4, "failed": 1, "rejected": 2, "discovered": 8, "duplicates_avoided": 1}
+    assert crawl.run(pages, ["http://h/a"], 3, 2, ["h"], robots)[1]["fetched"] == 2
+    loop = spark.createDataFrame([("http://h/l", "", 301, "text/html", "/l")], "url string, html string, status int, content_type string, location string")
+    rows, counts = crawl.run(loop, ["http://h/l"], 1, 5)
+    assert rows.count() == 0 and counts["failed"] == 1
+    assert crawl.run(pages, ["http://127.0.0.1/a"], 1, 5)[1]["fetched"] == 0
+
+
+def test_ingest_pages(spark):
+    stored = corpus.migrated(spark.createDataFrame([(7, X_id("http://h/a"), "http://h/a", "T", "old", "h0")], "int_id long, id string, url string, title string, content string, content_hash string"))
+    web = spark.createDataFrame([("http://h/a", "<title>T</title><body>one <a href='/eng/b'>x</a></body>"), ("http://h/eng/b", "<body>two</body>")], "url string, html string")
+    after, said = crawl.ingest_pages(stored, web, "http://h/a", 10, 1)
+    rows = {r.url: r for r in after.collect()}
+    assert (said["pages_crawled"], said["pages_stored"]) == (2, 2)
+    assert (rows["http://h/a"].version, rows["http://h/eng/b"].int_id, rows["http://h/eng/b"].allowed_roles) == (2, 8, "Engineering")
+    assert crawl.ingest_pages(after.drop("action"), web, "http://h/a", 10, 1)[1]["pages_stored"] == 0
+    for bad in (("http://h/a", 0, 1), ("http://h/a", 101, 1), ("http://h/a", 5, 4), ("http://h/a", 5, -1), ("ftp://h/a", 5, 1), ("http://127.0.0.1/", 5, 1)):
+        with pytest.raises(ValueError):
+            crawl.ingest_pages(stored, web, *bad)
+
+
+def test_models_run_in_batches(spark):
+    def load():
+        return lambda texts: [[float(len(t)), 0.0] for t in texts if len(texts) <= 3]
+
+    v = spark.createDataFrame([(i, "x" * i) for i in range(10)] + [(10, None)], "i long, t string").select("i", dense.embedder(load, 2, 3)("t").alias("v"))
+    assert {r.i: r.v for r in v.collect()} == {i: [float(0 < i < 10), 0.0] for i in range(11)}
+
+    def pairs():
+        return lambda held: [0.9 if q in t else 0.1 for q, t in held if len(held) <= 4]
+
+    s = spark.createDataFrame([("a", "b a"), ("z", "b a"), ("q", None)] * 5, "q string, t string").select("q", rerank.cross_encoder(pairs, 4)(F.col("q"), F.col("t")).alias("s"))
+    assert {r.q: round(r.s, 3) for r in s.collect()} == {"a": 2.197, "z": -2.197, "q": -2.197}
+    plain = {}
+    for i, t in DOCS:
+        import xxhash
+
+        e = [0.0] * dense.DIM
+        for w in (t or "").lower().split():
+            h = xxhash.xxh64_intdigest(w)
+            e[h % dense.DIM] += 1.0 if h >> 63 else -1.0
+        n = max(math.sqrt(sum(x * x for x in e)), 1e-9)
+        plain[i] = [x / n for x in e]
+    for r in spark.createDataFrame(DOCS, "int_id long, content string").select("int_id", dense.hash_embedding("content").alias("v")).collect():
+        assert r.v == pytest.approx(plain[r.int_id])
+
+
+def test_vector_tables(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0])], "int_id long, embedding array<double>")
+    assert dense.loaded(v, 2).count() == 1 and dense.loaded(v, 3).count() == 0
+    twice = spark.createDataFrame([(1, 1, [0.0, 9.0]), (2, 1, [0.0, 1.0])], "seq long, int_id long, embedding array<double>").repartition(2)
+    assert [r.embedding for r in dense.upserted(v, twice, 2).collect()] == [[0.0, 1.0]]
+
+
+def test_frames_quote_what_they_hold(spark):
+    frames = spark.range(1).select(rerank.framed(F.lit('say "x" \\ é')).alias("f")).first().f
+    assert [json.loads(f[6:])["token"] for f in frames[:-1]] == ["say ", '"x" ', "\\ ", "é "] and frames[-1] == "data: [DONE]\n\n"
+
+
+def test_links_of_a_page_without_a_number(spark):
+    pages = spark.createDataFrame([(None, "http://h/", "<a href='/x'>"), (2, "http://h/", None)], "page_id long, url string, html string")
+    assert [tuple(r) for r in html.links(pages).collect()] == [(None, 0, "http://h/x")]
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text("\n".join(json.dumps(x) for x in ({"_id": "1", "title": "T", "text": "one"}, {"_id": "2", "title": None, "text": "two"})))
+    (tmp_path / "q.jsonl").write_text("\n".join(json.dumps({"_id": i, "text": f"q{i}"}) for i in ("a", "b", "c")))
+    (tmp_path / "r.tsv").write_text("query-id\tcorpus-id\tscore\na\t1\t1\nb\t9\t1\nc\t2\t0\n")
+    docs, asked, rel = corpus.judged_corpus(spark, *(str(tmp_path / f) for f in ("c.jsonl", "q.jsonl", "r.tsv")))
+    assert sorted(r.content for r in docs.collect()) == [" two", "T one"] and [r.query_id for r in asked.collect()] == ["a"] and [tuple(r) for r in rel.collect()] == [("a", "1", 1)]
+    rows = corpus.role_corpus(spark).collect()
+    assert len(rows) == 100 and {r.allowed_roles for r in rows} == set(corpus.ROLES) and rows == corpus.role_corpus(spark).collect()
+    ids = spark.createDataFrame([("abc",), (None,)], "t string").select(X.int64_id("t").alias("i")).collect()
+    assert [r.i for r in ids] == [int.from_bytes(hashlib.blake2b(b"abc", digest_size=8).digest(), "little", signed=True), None]
+
+
+def test_a_new_checkpoint_goes_on_with_an_old_folder(spark, tmp_path):
+    source, folder = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    for n, text in enumerate(("a", "b")):
+        (source / f"{n}.json").write_text(json.dumps({"seq": n, "op": "put", "int_id": n, "content": text}))
+        sync_stream.start(spark, str(source), str(folder)).awaitTermination()
+        shutil.rmtree(folder / "checkpoint")
+        (source / f"{n}.json").unlink()
+    version, docs = sync_stream.latest(spark, str(folder))
+    assert version == 1 and {r.content for r in docs.collect()} == {"a", "b"}
+
+
+def test_searches_agree_from_run_to_run(spark):
+    from lodestone.plans.search import Engine
+
+    docs = spark.createDataFrame([(i, f"u{i}", f"t{i}", t, f"h{i}", "Public", False) for i, t in DOCS], "int_id long, url string, title string, content string, content_hash string, allowed_roles string, is_deleted boolean")
+    vectors = docs.select("int_id", dense.hash_embedding("content").alias("embedding"))
+    q = ask(spark, "python database", " ", "language")
+    runs = [sorted(map(repr, Engine(docs.repartition(n), vectors.repartition(n + 1)).search_hybrid(q).collect())) for n in (1, 3)]
+    assert runs[0] == runs[1] and runs[0]
+    e = Engine(docs, vectors)
+    assert {r.query_id for r in e.dense_ranks(q, "Public").collect()} == {1, 3} and e.ready().first().ready and not Engine(docs.limit(0), vectors).ready().first().ready
