@@ -89,8 +89,7 @@ def synth_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as an evaluation set: relevant is every live document that holds the passage."""
     b = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    pairs = live(spark, sf_dir).select("int_id", "content").join(corpus.listed(b), F.contains("content", "passage"))
-    return pairs.select("query_id", "int_id")
+    return corpus.holding(live(spark, sf_dir).select("int_id", "content"), b)
 
 
 @query

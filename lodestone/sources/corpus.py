@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestone.functions import text as X
 from lodestone.functions import urls as U
@@ -125,8 +129,62 @@ def html_files(spark: SparkSession, path: str, base: str) -> DataFrame:
     return raw.select(F.substring(place, F.lit(len(base.rstrip("/")) + 2), F.length(place)).alias("url"), F.decode("content", "UTF-8").alias("html"))
 
 
+#: Words of a passage by whose hash documents are met, and keywords that one pass over the titles looks for.
+ANCHOR, BLOCK = 4, 50_000
+
+
+def _runs(words: Column) -> Column:
+    """Array of hashes of the runs of ANCHOR words that begin at each word; those that the end cuts off are null."""
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+    return F.zip_with(pairs, F.slice(pairs, F.lit(3), F.size(pairs)), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(a, b)))
+
+
+def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, int_id) of the documents (int_id, content) that hold a passage (query_id, passage) as it is.
+
+    The words inside a passage stand whole in a document that holds it, so both meet by the hash of a run of them (the
+    longest in letters) and only such pairs are compared; passages of too few words are compared with every document.
+    """
+    split = lambda c: F.split(c, r"\s+")
+    known = passages.filter("passage is not null").withColumn("words", split(F.col("passage")))
+    inner = F.slice("words", F.lit(2), F.greatest(F.size("words") - 2, F.lit(0)))
+    known = known.select("query_id", "passage", inner.alias("inner"))
+    long = F.transform(F.sequence(F.lit(1), F.size("inner") - ANCHOR + 1), lambda i: F.struct(F.length(F.array_join(F.slice("inner", i, ANCHOR), " ")).alias("n"), F.get(_runs(F.col("inner")), i - 1).alias("key")))
+    keyed = known.filter(F.size("inner") >= ANCHOR).select("query_id", F.array_max(long)["key"].alias("k"))
+    runs = docs.filter("content is not null").select("int_id", F.explode(_runs(split(F.col("content")))).alias("key"))
+    met = runs.join(listed(keyed), F.col("key") == F.col("k")).select("query_id", "int_id").distinct()
+    texts = met.join(docs.select("int_id", "content"), "int_id").join(listed(known.select("query_id", "passage")), "query_id")
+    short = docs.select("int_id", "content").join(listed(known.filter(F.size("inner") < ANCHOR).select("query_id", "passage")), F.contains("content", "passage"))
+    return texts.filter(F.contains("content", "passage")).select("query_id", "int_id").unionAll(short.select("query_id", "int_id"))
+
+
+def _matcher(words: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        tree = ahocorasick.Automaton()
+        for w in words:
+            tree.add_word(w, w)
+        tree.make_automaton()
+        for f in frames:
+            rows = [(i, w) for i, t in zip(f["id"], f["t"], strict=True) for w in {w for _, w in tree.iter(t)}]
+            yield pd.DataFrame(rows, columns=["id", "kw"], dtype=object)
+
+    return over
+
+
 def weak_qrels(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, id): documents whose title holds one of the query's keywords; queries are (query, keywords) rows."""
-    title = F.lower(F.coalesce("title", F.lit("")))
-    wanted = docs.select("id", title.alias("t")).join(listed(queries.select("query", F.explode("keywords").alias("kw"))), F.contains(F.col("t"), F.col("kw")))
-    return wanted.select("query", "id").distinct()
+    """(query, id): documents whose title holds one of the query's keywords; queries are (query, keywords) rows.
+
+    All keywords are looked for in one pass over a title, BLOCK of them a pass over the table; an empty one is in every title.
+    """
+    asked = queries.select("query", F.explode("keywords").alias("kw")).filter("kw is not null").distinct()
+    titles = docs.select("id", F.lower(F.coalesce("title", F.lit(""))).alias("t"))
+    every = asked.filter("kw = ''").select("query").distinct().crossJoin(titles.select("id")) if not asked.filter("kw = ''").isEmpty() else None
+    words = asked.filter("kw <> ''").select("kw").distinct().withColumn("block", F.pmod(F.xxhash64("kw"), F.lit(max(1, -(-asked.count() // BLOCK)))))
+    found = every
+    for (block,) in words.select("block").distinct().collect():
+        held = [r[0] for r in words.filter(F.col("block") == block).select("kw").collect()]
+        hit = titles.mapInPandas(_matcher(held), StructType([titles.schema["id"], StructField("kw", StringType())])).join(listed(asked), "kw").select("query", "id")
+        found = hit if found is None else found.unionAll(hit)
+    return found.distinct() if found is not None else asked.select("query").join(titles.select("id").limit(0), F.lit(False))
