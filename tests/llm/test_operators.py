@@ -551,3 +551,82 @@ def test_chained_passages_recall(spark):
         by[k].append(best[i] > 0)
     print({k: f"{sum(v)}/{len(v)}" for k, v in by.items()})
     assert all(sum(v) >= 0.8 * len(v) for v in by.values())
+
+
+def plain_leaks(docs: dict[int, list[str]], items: dict[int, list[str]]) -> dict[tuple[int, int], str]:
+    """Leaks by trying every window of every item at every place of every document, from tokens with their signs."""
+    sign = lambda t: ord(t[0]) if t[0] < "\x05" else 0
+    word = lambda t: t[1:] if sign(t) else t
+
+    def meet(a: list[str], b: list[str]) -> bool:
+        fixed = sum(sign(t) in (1, 2) for t in a)
+        if fixed > len(a) - decontaminate.LITERALS:
+            return list(map(word, a)) == list(map(word, b))
+        for names in ((3, 4), (3,), ()):
+            masked, same = 0, True
+            for x, y in zip(a, b, strict=True):
+                if sign(y) in (1, 2):
+                    same &= sign(x) == sign(y)
+                elif sign(y) in names:
+                    same &= sign(x) in (3, 4)
+                    masked += 1
+                else:
+                    same &= sign(x) not in (1, 2) and word(x) == word(y)
+            if same and masked + fixed <= len(a) - decontaminate.LITERALS:
+                return True
+        return False
+
+    out = {}
+    for d, toks in docs.items():
+        for i, own in items.items():
+            n, w = len(own), min(len(own), decontaminate.WINDOW)
+            if not n:
+                continue
+            if n < decontaminate.LITERALS:
+                at = [(0, 0)] if list(map(word, own)) == list(map(word, toks)) else []
+            else:
+                at = [(p, q) for p in range(n - w + 1) for q in range(len(toks) - w + 1) if meet(own[p : p + w], toks[q : q + w])]
+            pairs = {(q + k, p + k) for p, q in at for k in range(w)}
+            if len({p for _, p in pairs}) < decontaminate.COVER * n or not pairs:
+                continue
+            kind = lambda t: {1: "n", 2: "u", 3: "c", 4: "c"}.get(sign(t))
+            by = defaultdict(set)
+            for q, p in pairs:
+                x, y = own[p], toks[q]
+                lower = sign(x) == 4 and word(x) in own
+                if kind(x) and not lower and kind(x) == kind(y):
+                    by[q - p].add((p, kind(x), word(x), word(y)))
+            fits = []
+            for held in by.values():
+                three = {(k, x, y) for _, k, x, y in held}
+                if len({(k, x) for k, x, _ in three}) == len(three) == len({(k, y) for k, _, y in three}):
+                    fits.append(sum(x != y for _, _, x, y in held))
+            if fits or not by:
+                out[(d, i)] = "reparameterised" if fits and min(fits) else "verbatim"
+    return out
+
+
+def test_decontaminate_equals_brute_force(spark, monkeypatch):
+    r = random.Random(21)
+    names, nouns = ["Tom", "Anna", "Paris", "Bob", "Rome"], ["apples", "pears", "trains", "books"]
+    frames = [
+        "{a} has {x} {n} and gives {y} of them to {b} who then has {z} more than before.",
+        "The {n} cost {x} dollars each. {a} buys {y} of them in {c}. How much does {a} pay?",
+        "{a} buys {x} {n}. {b} buys {y}. {a} and {b} eat {z}. How many are left?", "Compute {x} + {y} = {z}", "{x} {y} {z} {x} {y} 4 5 6 7", "{n} only", "{n}",
+    ]
+    fill = lambda f: f.format(a=r.choice(names), b=r.choice(names), c=r.choice(names), n=r.choice(nouns), x=r.randint(1, 9), y=r.randint(1, 9), z=r.randint(1, 9))
+    items = [(i, fill(frames[i % len(frames)])) for i in range(28)] + [(100, None), (101, "")]
+    noise = lambda: " ".join(r.choice([*names, *nouns, "has", "the", "and", "3", "4 km", "buys", "of them."]) for _ in range(r.randint(0, 12)))
+    docs = []
+    for d in range(120):
+        t = fill(r.choice(frames)) if r.random() < 0.6 else r.choice(items[:28])[1]
+        t = t.lower() if r.random() < 0.2 else t
+        docs.append((d, t if r.random() < 0.2 else f"{noise()} {t} {noise()}"))
+    docs += [(500, None), (501, "")]
+    b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    read = lambda df, i: {x[0]: list(x[1]) for x in df.filter("text is not null").select(i, decontaminate.tokens(F.col("text"))).collect()}
+    want = plain_leaks(read(d, "doc_id"), read(b, "item_id"))
+    assert len(want) > 60 and set(want.values()) == {"verbatim", "reparameterised"}
+    for hot in (decontaminate.HOT, 1):
+        monkeypatch.setattr(decontaminate, "HOT", hot)
+        assert {(x.doc_id, x.item_id): x.kind for x in decontaminate.leaks(d, b).collect()} == want
