@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import text as T
-from lodestone.llm.frames import cut, tidy
+from lodestone.llm.frames import cut
 from lodestone.llm.sais import permuted_prefixes, suffix_array
 
 WIDTH = 50
@@ -147,7 +147,7 @@ def _minimizers(docs: DataFrame, buckets: int) -> DataFrame:
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
                     part = by[cuts[b] : cuts[b + 1]]
                     six = short[part].view(np.uint8).reshape(-1, 8)[:, :6]
-                    rows.append((b, key, 2, np.ascontiguousarray(six).tobytes(), whose[part].tobytes()))
+                    rows.append((b, key, 2, np.ascontiguousarray(six).tobytes(), zstandard.compress(np.diff(whose[part], prepend=0).astype("<i4").tobytes(), 1)))
                 yield _batch(rows)
 
     return docs.select("doc", "print", "text").mapInArrow(over, _ROW)
@@ -168,7 +168,7 @@ def _shared(entries: DataFrame, parts: int) -> DataFrame:
                     parts.append(wide.view("<u8").ravel())
                 h = np.concatenate(parts)
                 of = np.repeat(np.arange(len(rest)), [len(p) for p in parts])
-                whose = np.concatenate([_u(r[4], "<i4") for r in rest])
+                whose = np.concatenate([np.cumsum(_u(zstandard.decompress(r[4]), "<i4"), dtype=np.int64) for r in rest])
                 s = np.sort(h)
                 twice = np.unique(s[1:][s[1:] == s[:-1]])
                 found = np.searchsorted(twice, h)
@@ -178,7 +178,7 @@ def _shared(entries: DataFrame, parts: int) -> DataFrame:
                 for i, r in enumerate(rest):
                     k = slice(cuts[i], cuts[i + 1])
                     if (use := keep[k]).any():
-                        pass_on.append((r[0], r[1], 3, h[k][use].tobytes(), whose[k][use].tobytes()))
+                        pass_on.append((r[0], r[1], 3, h[k][use].tobytes(), whose[k][use].astype("<i4").tobytes()))
             yield _batch([r[:5] for r in pass_on])
 
     return entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(over, _ROW)
@@ -364,11 +364,9 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # written, so that Spark can split a join whose rows are mostly copies of one text
     copies = cut(marks.join(cut(owners, "owners"), F.col("digest") == F.col("g")).filter("doc > owner").select("doc", "print"), "copies").distinct()
     keys = cut(_wanted(_shared(_minimizers(rows, max(1, buckets // SHARDS)), parts)), "keys")
-    tidy(spark)
     alone = keys.join(copies.toDF("c", "p"), (F.col("doc") == F.col("c")) & (F.col("print") == F.col("p")), "left_anti")
     with_text = alone.join(rows.toDF("d", "q", "text"), (F.col("doc") == F.col("d")) & (F.col("print") == F.col("q"))).select("doc", "print", "keys", "text")
     spans = cut(_spans(_resolved(_fragments(with_text, buckets), parts)), "spans")
-    tidy(spark)
     return spans, copies
 
 
