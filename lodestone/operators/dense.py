@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -72,6 +73,18 @@ def embedder(load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]
     return run
 
 
+def query_encoder(load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]], size: int = 1000) -> Callable[[str], list[float]]:
+    """Vectors of length one of single queries, on the driver; the last ``size`` queries asked are remembered, and each call gets a list of its own."""
+    model = load()
+
+    @lru_cache(size)
+    def one(text: str) -> tuple[float, ...]:
+        v = np.asarray(model([text]), np.float64).reshape(-1)
+        return tuple((v / max(float(np.linalg.norm(v)), 1e-9)).tolist())
+
+    return lambda text: list(one(text))
+
+
 def _hashed_words() -> Callable[[list[str]], Sequence[Sequence[float]]]:
     import xxhash
 

@@ -424,6 +424,20 @@ def test_models_run_in_batches(spark):
         assert r.v == pytest.approx(plain[r.int_id])
 
 
+def test_query_vectors_are_remembered():
+    asked = []
+
+    def load():
+        return lambda texts: asked.extend(texts) or [[3.0, 4.0]]
+
+    encode = dense.query_encoder(load, 2)
+    first = encode("a")
+    first.append(9.0)
+    assert encode("a") == [0.6, 0.8] and asked == ["a"]
+    encode("b"), encode("c"), encode("a")
+    assert asked == ["a", "b", "c", "a"]
+
+
 def test_vector_tables(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0])], "int_id long, embedding array<double>")
     assert dense.loaded(v, 2).count() == 1 and dense.loaded(v, 3).count() == 0
