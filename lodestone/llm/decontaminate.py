@@ -169,9 +169,11 @@ def document_keys(rows: DataFrame, widths: list[int]) -> DataFrame:
     dense = lambda width: F.col("united").rlike(rf"(?:{fixed}[^ ]*(?: [^{_NUMBER}{_UNIT} ][^ ]*){{0,{LITERALS - 1}}} ){{{width - LITERALS}}}{fixed}")
     coded = united.select("doc", codes(_split(F.col("united"))).alias("coded"), _whole(F.col("united")).alias("whole"), *(dense(w).alias(f"dense_{w}") for w in widths))
     readings = {"r0": lambda c: _slot(c, _ALL), "r1": lambda c: _slot(c, _INNER), "r2": lambda c: _slot(c, _NONE), "r3": _value}
-    read = coded.select("doc", F.size("coded").alias("n"), "whole", *(f"dense_{w}" for w in widths), *(F.transform("coded", f).alias(r) for r, f in readings.items()))
+    none, close = F.array().cast("array<long>"), F.lit(False)
+    for w in widths:
+        close = close | F.col(f"dense_{w}")
+    read = coded.select("doc", F.size("coded").alias("n"), "whole", *(f"dense_{w}" for w in widths), *(F.transform(F.when(close, F.col("coded")).otherwise(none) if r == "r3" else F.col("coded"), f).alias(r) for r, f in readings.items()))
     keyed = _window_keys(read, list(readings), widths) if widths else read
-    none = F.array().cast("array<long>")
     parts = [F.col(f"{r}_{w}") for r in ("r0", "r1", "r2") for w in widths] + [F.when(F.col(f"dense_{w}"), F.col(f"r3_{w}")).otherwise(none) for w in widths]
     parts.append(F.when(F.col("n") < LITERALS, F.array_repeat("whole", F.col("n"))).otherwise(none))
     exploded = keyed.select("doc", "n", F.posexplode(F.concat(*parts)).alias("p", "k"))
