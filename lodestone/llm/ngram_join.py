@@ -7,8 +7,9 @@ such sets agree on a whole part: a tile is a band, a part and that part's conten
 
 1. Tiles that hold two documents go on. In each every class is paired with the tile's smallest id. Pairs whose parity bitmaps differ in more bits than the
    sizes allow are out (the bits that differ bound the overlap from above); the rest are intersected as sorted arrays.
-2. The links give components. Tiles whose sets lie in several components are compared throughout, across components
-   only, in square blocks of ``CHUNK`` sets by their bitmaps, and what passes is intersected too.
+2. The links give components. Tiles whose other sets lie in several components are compared throughout, across components
+   only, in square blocks of ``CHUNK`` sets by their bitmaps, and what passes is intersected too; of tiles that hold the
+   same sets one is.
 3. All links give the final components. Pairs inside one component need no test, so a group of near copies costs a
    star, not a square, and no link is lost.
 
@@ -19,7 +20,8 @@ null id gets a null component unless equal texts lend one; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ LEAST_BITS = 256
 CHUNK = 1024
 #: Members that one task compares with the head of a tile.
 STAR = 512
+#: Pairs that a round takes for each set that pairs are made of.
+MOVED = 2
 #: Elements of sets for each bucket of tiles, and rows of a batch that a bucket gives.
 BUCKET, ROWS = 4 << 20, 1 << 18
 
@@ -258,6 +262,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return rows.mapInArrow(over, "a long, b long")
 
 
+def _rounds(pairs: DataFrame, rows: int, step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What a step gives for the pairs (a, b), written. A round takes the pairs whose ``a`` has a part of all hashes, about ``MOVED`` times as many as the table has rows that the step joins them with, so what lies on disk at once does not follow the number of pairs."""
+    pairs = cut(pairs, "pairs")
+    rounds = max(1, math.ceil(pairs.count() / max(1, MOVED * rows)))
+    out = None
+    for k in range(rounds):
+        part = pairs.filter(F.pmod(F.xxhash64("a", F.lit(4)), F.lit(rounds)) == k) if rounds > 1 else pairs
+        found = cut(step(part), name)
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
 def _across(tiles: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that meet in a tile and pass the bitmap bound; rows are (tile, doc, component, n, bits)."""
     counts = tiles.groupBy(F.col("tile").alias("t")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
@@ -322,15 +338,27 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     facts = profile.select(F.col("doc").alias("d"), F.col("n"), "bits").join(met.select(F.col("doc").alias("m")).distinct(), F.col("d") == F.col("m"), "left_semi")
     facts = cut(facts, "facts")
     heads = met.groupBy(F.col("tile").alias("t")).agg(F.min("doc").alias("head"))
-    star = met.join(heads, F.col("tile") == F.col("t")).filter("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
-    star = star.join(facts.toDF("d", "na", "bits_a"), F.col("a") == F.col("d")).drop("d").join(facts.toDF("d", "nb", "bits_b"), F.col("b") == F.col("d")).drop("d")
-    links = cut(_verified(cut(_bounded(star, percent), "pairs"), texts, n, percent), "links")
+    rays = cut(met.join(heads, F.col("tile") == F.col("t")).filter("doc <> head").select("tile", "head", "doc"), "rays")
+    star = rays.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
+    held = facts.count()
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(facts.toDF("d", "na", "bits_a"), F.col("a") == F.col("d")).drop("d")
+        return _bounded(rows.join(facts.toDF("d", "nb", "bits_b"), F.col("b") == F.col("d")).drop("d"), percent)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _rounds(pairs, held, lambda part: _verified(part, texts, n, percent), "links")
+
+    links = linked(_rounds(star, held, bounded, "near"))
     first = components(links)
     label = F.coalesce("component", "doc").alias("component")
-    placed = met.join(first, F.col("doc") == F.col("node"), "left").select("tile", "doc", label)
-    mixed = placed.groupBy(F.col("tile").alias("t")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("t")
+    placed = rays.join(first, F.col("doc") == F.col("node"), "left").select("tile", "doc", label)
+    # pairs with the head are tested; of tiles that hold the same others one is compared, told by their number and two sums over them
+    told = [F.sum(F.xxhash64("doc", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
+    mixed = placed.groupBy(F.col("tile").alias("t")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many"), *told).filter("lo <> hi")
+    mixed = mixed.groupBy("many", "s1", "s2").agg(F.min("t").alias("t")).select("t")
     open_tiles = placed.join(mixed, F.col("tile") == F.col("t"), "left_semi").join(facts, F.col("doc") == F.col("d")).select("tile", "doc", "component", "n", "bits")
-    more = _verified(cut(_across(open_tiles, percent), "pairs"), texts, n, percent)
+    more = linked(_across(open_tiles, percent))
     final = components(links.union(more))
     named = classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     named = named.toDF("n_", "f1_", "f2_", "component")

@@ -370,6 +370,12 @@ def test_ngram_join_finds_links_past_the_head_of_a_tile(spark):
     assert got == {i: c for i, (_, c) in plain_components(rows, 3, 90).items()} and len(set(got.values())) == 1
 
 
+def test_ngram_join_tests_pairs_in_rounds(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MOVED", 0.1)
+    got = ngram_join.join(docs, 5, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(corpus(), 5, 80)
+
+
 def test_bitmaps_bound_the_difference():
     r = np.random.default_rng(3)
     for n in (3, 50, 900):
