@@ -262,13 +262,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return rows.mapInArrow(over, "a long, b long")
 
 
-def _rounds(pairs: DataFrame, rows: int, step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """What a step gives for the pairs (a, b), written. A round takes the pairs whose ``a`` has a part of all hashes, about ``MOVED`` times as many as the table has rows that the step joins them with, so what lies on disk at once does not follow the number of pairs."""
+def _rounds(pairs: DataFrame, rows: int, step: Callable[[DataFrame], DataFrame], name: str, by: str = "a") -> DataFrame:
+    """What a step gives for pairs, or for rows of tiles, written. A round takes those whose column ``by`` has a part of all hashes, about ``MOVED`` times as many as the table has rows that the step joins them with, so what lies on disk at once does not follow their number."""
     pairs = cut(pairs, "pairs")
     rounds = max(1, math.ceil(pairs.count() / max(1, MOVED * rows)))
     out = None
     for k in range(rounds):
-        part = pairs.filter(F.pmod(F.xxhash64("a", F.lit(4)), F.lit(rounds)) == k) if rounds > 1 else pairs
+        part = pairs.filter(F.pmod(F.xxhash64(by, F.lit(4)), F.lit(rounds)) == k) if rounds > 1 else pairs
         found = cut(step(part), name)
         out = found if out is None else out.unionAll(found)
     return out
@@ -357,8 +357,12 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     told = [F.sum(F.xxhash64("doc", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
     mixed = placed.groupBy(F.col("tile").alias("t")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many"), *told).filter("lo <> hi")
     mixed = mixed.groupBy("many", "s1", "s2").agg(F.min("t").alias("t")).select("t")
-    open_tiles = placed.join(mixed, F.col("tile") == F.col("t"), "left_semi").join(facts, F.col("doc") == F.col("d")).select("tile", "doc", "component", "n", "bits")
-    more = linked(_across(open_tiles, percent))
+    open_tiles = placed.join(mixed, F.col("tile") == F.col("t"), "left_semi")
+
+    def across(part: DataFrame) -> DataFrame:
+        return _across(part.join(facts, F.col("doc") == F.col("d")).select("tile", "doc", "component", "n", "bits"), percent)
+
+    more = linked(_rounds(open_tiles, held, across, "near", "tile").distinct())
     final = components(links.union(more))
     named = classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     named = named.toDF("n_", "f1_", "f2_", "component")
