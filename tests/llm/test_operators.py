@@ -489,6 +489,46 @@ def test_chained_passages_at_every_place(spark, monkeypatch, size):
     assert {(r.begin_word, r.end_word, r.match_begin) for r in found if r.doc_id == 2} == {(30, 90, 30), (120, 180, 30)}
 
 
+@pytest.mark.parametrize("keep", [1, 4])
+def test_chained_passages_of_seeds_in_many_contexts(spark, monkeypatch, keep):
+    """Every seed of the passage stands in more than KEEP other contexts of each slice, and smaller ids hold them all."""
+    monkeypatch.setattr(chaining, "KEEP", keep)
+    passage = [f"p{k}" for k in range(60)]
+    filler = lambda i: " ".join(f"{' '.join(passage[k : k + 7])} " + " ".join(f"f{i}x{k}x{j}" for j in range(4)) for k in range(54))
+    own = lambda i: " ".join(f"d{i}x{k}" for k in range(30))
+    rows = [(i, filler(i)) for i in range(240)]
+    rows[150], rows[230] = (1000, f"{own(1)} {' '.join(passage)}"), (1001, f"{own(2)} {' '.join(passage)} {own(3)}")
+    found = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.match_doc_id, r.begin_word, r.end_word, r.match_begin) for r in found} >= {(1001, 1000, 30, 90, 30), (1000, 1001, 30, 90, 30)}
+
+
+def test_places_meet_the_holder_alike_for_longest_through_trees():
+    """Of places of one seed in several slices, some of one id: the deepest node is that of the most units alike."""
+    r = np.random.default_rng(5)
+    for ids in (np.arange(40), np.arange(40) % 17):
+        of, doc = np.repeat(np.arange(8), 5), ids
+        context = sum((r.integers(0, 3, 40).astype(np.uint64) << np.uint64(8 * k)) for k in range(8))
+        h, pos = np.full(40, 12345, np.uint64), np.arange(40)
+        found = chaining.nodes(h, context, pos % 5, pos, doc, of)
+        assert not any(chaining._heads(found[0], found[5]) ^ True)
+        order = np.lexsort((found[5], found[4], found[0]))
+        key, level, who, p, d, o = (x[order] for x in found)
+        me, to = chaining.holders(key, d, o)
+        assert (o[me] != o[to]).all() and (key[me] == key[to]).all()
+        for s in range(8):
+            m = o[me] == s
+            deep = [x[m] for x in (key[me], level[me], who[me], p[me], d[to], p[to])]
+            mine = np.flatnonzero(of == s)
+            local = [x[mine] for x in (h, context, pos % 5, pos)]
+            got = {x: 0 for x in mine.tolist()}
+            for x, other, q, units in zip(*(v.tolist() for v in [c for i, c in enumerate(chaining.deepest(doc[mine], local, deep)) if i]), strict=True):
+                assert doc[q] == other != doc[x] and of[q] != s and chaining.alike(context[x : x + 1], context[q : q + 1])[0] >= units
+                got[x] = max(got[x], units)
+            for x in mine.tolist():
+                rest = np.flatnonzero((of != s) & (doc != doc[x]))
+                assert got[x] == chaining.alike(np.full(len(rest), context[x]), context[rest]).max()
+
+
 def test_edit_matches_are_the_longest_common_subsequence():
     r = random.Random(2)
     for _ in range(60):
