@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.storage import cut, shared_dir, work_path
 
-__all__ = ["cut", "fresh", "map_batches", "shared_dir", "work_path"]
+__all__ = ["cut", "freed", "fresh", "map_batches", "shared_dir", "work_path"]
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -20,9 +22,31 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: allocators keep what large arrays took, for as long as a worker lives."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def freed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow after whose task a worker keeps no freed memory, which would add to the next steps'."""
+
+    @wraps(f)
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return over
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow by a function of one batch."""
 
+    @freed
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from f(batch)

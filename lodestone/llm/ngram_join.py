@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import text as T
-from lodestone.llm.frames import cut
+from lodestone.llm.frames import cut, freed
 from lodestone.llm.graph import components
 
 GROWTH = 1.5
 LEAST_BITS = 256
 CHUNK = 1024
+#: Bytes of text whose sets are made at once where sets stand alone.
+SLICE = 1 << 19
 #: Members that one task compares with the head of a tile.
 STAR = 512
 #: Pairs that a round takes for each set that pairs are made of.
@@ -137,9 +139,10 @@ def folded(bits: bytes, size: int) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, n: int) -> DataFrame:
+    @freed
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, buf, off in T.text_slices(batch.column(1)):
+            for row, end, buf, off in T.text_slices(batch.column(1), SLICE):
                 sets = shingle_sets(buf, off, n)
                 one, two = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in class_sums(sets))
                 yield pa.RecordBatch.from_arrays(
@@ -153,6 +156,7 @@ def _profiles(docs: DataFrame, n: int) -> DataFrame:
 def _sent(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     """(bucket, keys, docs): of each slice of rows the tiles that fall into a bucket, six bytes a key, and the document of each."""
 
+    @freed
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # of equal sets in a task one is sent
         pack = zstandard.ZstdCompressor(level=1)
@@ -199,6 +203,7 @@ def _met(sent: DataFrame, buckets: int) -> DataFrame:
         for at in range(0, len(tile), ROWS):
             yield pa.RecordBatch.from_arrays([pa.array(tile[at : at + ROWS]), pa.array(doc[at : at + ROWS])], ["tile", "doc"])
 
+    @freed
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, docs = None, [], []
         for batch in batches:
@@ -218,6 +223,7 @@ def _met(sent: DataFrame, buckets: int) -> DataFrame:
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the rows (a, na, bits_a, b, nb, bits_b) that sizes and bitmaps leave possible."""
 
+    @freed
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -245,12 +251,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     rows = texts.join(calls.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d")).select("a", "salt", "role", "d", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
+    @freed
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, head = None, None
         for batch in batches:
             a, salt, role, doc = (batch.column(i).to_pylist() for i in range(4))
             found: tuple[list[int], list[int]] = ([], [])
-            for row, end, buf, off in T.text_slices(batch.column(4)):
+            for row, end, buf, off in T.text_slices(batch.column(4), SLICE):
                 for i, s in enumerate(shingle_sets(buf, off, n), row):
                     if role[i] == 0:
                         key, head = (a[i], salt[i]), s
@@ -300,6 +307,7 @@ def _across(tiles: DataFrame, percent: int) -> DataFrame:
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
 
+    @freed
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
         for batch in batches:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.llm import text as T
-from lodestone.llm.frames import fresh
+from lodestone.llm.frames import freed, fresh
 from lodestone.llm.quality import best_cut, held_out, labelled
 
 BITS = 22
@@ -268,6 +268,7 @@ def train(texts: list[np.ndarray], label: np.ndarray, aside: np.ndarray, lang: n
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, label_col: str = "toxic") -> bytes:
     rows = labelled(docs, labels, label_col, folds, fold, MAX_LABELLED)
 
+    @freed
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, label, aside, lang, left = [], [], [], [], MAX_BYTES
         for batch in batches:
@@ -301,6 +302,7 @@ def _scored(rows: DataFrame, packed: bytes, keep: list[str], name: str) -> DataF
     held = rows.sparkSession.sparkContext.broadcast(packed)
     at, kept = rows.columns.index("text"), [rows.columns.index(c) for c in keep]
 
+    @freed
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.unpack(held.value)
         for batch in batches:

@@ -9,6 +9,7 @@ import re
 import string
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -489,6 +490,30 @@ def test_chained_passages_at_every_place(spark, monkeypatch, size):
     assert {(r.begin_word, r.end_word, r.match_begin) for r in found if r.doc_id == 2} == {(30, 90, 30), (120, 180, 30)}
 
 
+def test_workers_give_freed_memory_back(spark, monkeypatch, tmp_path):
+    from lodestone.llm import frames
+
+    held = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    def over(batches):
+        arrays = [np.ones(1 << 13) for _ in batches]  # below the size that allocators map apart
+        yield (held(), arrays.pop())
+
+    top, last = next(work := frames.freed(over)(range(4000)))
+    assert next(work, None) is None and len(last) and held() < top - (100 << 20)
+    # every step in Python of the near-copy join does so
+    calls = str(tmp_path / "calls")
+
+    def mark():
+        with open(calls, "a") as f:
+            f.write("x")
+
+    monkeypatch.setattr(frames, "give_back", mark)
+    rows = spark.createDataFrame([(i, f"{i % 3} b c d e f g h i j {i}") for i in range(12)], "doc_id long, text string")
+    ngram_join.join(rows).collect()
+    assert len(Path(calls).read_text()) >= 6
+
+
 @pytest.mark.parametrize("keep", [1, 4])
 def test_chained_passages_of_seeds_in_many_contexts(spark, monkeypatch, keep):
     """Every seed of the passage stands in more than KEEP other contexts of each slice, and smaller ids hold them all."""
