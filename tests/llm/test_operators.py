@@ -402,6 +402,48 @@ def test_suffix_array():
             assert shared[i] == same
 
 
+@pytest.mark.parametrize("part", [100, 1 << 15])
+def test_minimizer_runs(monkeypatch, part):
+    monkeypatch.setattr(suffix_dedup, "PART", part)
+    r = np.random.default_rng(4)
+    sizes = [0, 49, 50, 51, 0, 700, 10, 300, 120]
+    buf, off = r.integers(97, 101, sum(sizes)).astype(np.uint8), np.concatenate(([0], np.cumsum(sizes)))
+    buf[off[5] + 200 : off[5] + 300] = buf[off[7] + 50 : off[7] + 150]
+    runs = list(zip(*(x.tolist() for x in suffix_dedup.minimizer_runs(buf, off)), strict=True))
+    starts = [(row, i) for row, n in enumerate(sizes) for i in range(int(off[row]), int(off[row]) + n - 49)]
+    assert [(row, i) for row, a, z, _, _ in runs for i in range(a, z + 1)] == starts
+    pieces, windows = {}, {}
+    for _, a, z, place, h in runs:
+        assert pieces.setdefault(buf[place : place + 24].tobytes(), h) == h and z <= place <= a + 26
+        for i in range(a, z + 1):
+            assert windows.setdefault(buf[i : i + 50].tobytes(), (place - i, h)) == (place - i, h)
+
+
+def test_suffix_array_is_given_only_fragments_that_have_their_minimizer_in_common(monkeypatch):
+    r = np.random.default_rng(5)
+    texts = [r.integers(97, 101, 400).astype(np.uint8) for _ in range(6)]
+    texts[3][100:260], texts[4][30:190] = texts[0][50:210], texts[1][0:160]
+    texts += [texts[2], texts[2], texts[0]]
+    pieces, size, low, high, pivot = [], [], [], [], []
+    for i, t in enumerate(texts):
+        for _, a, z, place, _ in zip(*suffix_dedup.minimizer_runs(t, np.array([0, 400])), strict=True):
+            pieces.append(t[a : z + 50])
+            size.append(len(pieces[-1]))
+            low.append(i)
+            high.append(i + i % 2)
+            pivot.append(place - a)
+    given = []
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda t: given.append(len(t)) or sais.suffix_array(t))
+    f, a, z, m = (x.tolist() for x in suffix_dedup.lost_runs(np.concatenate(pieces), *(np.array(x) for x in (size, low, high, pivot))))
+    first: dict[bytes, int] = {}
+    for p, i in zip(pieces, low, strict=True):
+        for k in range(len(p) - 49):
+            first.setdefault(p[k : k + 50].tobytes(), i)
+    want = {(j, k): first[p[k : k + 50].tobytes()] for j, p in enumerate(pieces) for k in range(len(p) - 49) if first[p[k : k + 50].tobytes()] < high[j]}
+    assert {(j, k): v for j, x, y, v in zip(f, a, z, m, strict=True) for k in range(x, y + 1)} == want
+    assert 0 < sum(given) < sum(len(p) + 1 for p in {p.tobytes(): p for p in pieces}.values()) / 4
+
+
 def plain_removal(rows: list[tuple]) -> dict[int, tuple]:
     owner: dict[bytes, int] = {}
     texts = sorted(((i, (t or "").encode()) for i, t, *_ in rows if i is not None))
