@@ -507,6 +507,74 @@ def test_chained_passages(spark, docs, none):
     assert chaining.passages(none).count() == 0
 
 
+def test_segments_of_matches_that_go_on():
+    r = np.random.default_rng(12)
+    for _ in range(40):
+        n = int(r.integers(0, 200))
+        w, d, units = r.integers(0, 3, n), r.integers(0, 3, n), r.integers(0, 9, n) * r.integers(0, 2, n)
+        p = r.integers(0, 400, n)
+        q = p + r.integers(0, 3, n)
+        # each unit by itself: the seed's own place, and the runs of words behind it
+        places: dict[tuple, dict[int, bool]] = {}
+        for row, other, a, b, k in zip(*(x.tolist() for x in (w, d, p, q, units)), strict=True):
+            own = places.setdefault((row, other, b - a), {})
+            for step in range(k + 1):
+                at = a + step * chaining.GRAM + (step > 0)
+                own[at] = own.get(at, False) or step == 0
+        want = []
+        for (row, other, diagonal), own in places.items():
+            run: list[int] = []
+            for at in [*sorted(own), None]:
+                if run and (at is None or at - run[-1] > chaining.MERGE):
+                    want.append((row, other, run[0], run[-1] + chaining.GRAM, run[0] + diagonal, sum(own[x] for x in run)))
+                    run = []
+                run.append(at)
+        got = chaining.segments(w, p, d, q, p + units * chaining.GRAM + (units > 0))
+        assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(want)
+
+
+def plain_grown(a: list[int], b: list[int], wide: int) -> tuple:
+    a, b, low = a[:wide], b[:wide], -(1 << 30)
+    at = lambda v, i, none: v[i] if 0 <= i < len(v) else none
+    cells = {k: (chaining.DIFFER * k if k >= 0 else low, 0) for k in range(-chaining.BAND, chaining.BAND + 1)}
+    best, live = (0, 0, 0, 0), True
+    for i in range(wide):
+        new = {}
+        for k in cells:
+            same = at(a, i, -1) == at(b, i + k, -2)
+            ways = [(cells[k][0] + (chaining.AGREE if same else chaining.DIFFER), cells[k][1] + same)]
+            ways += [(c[k + s][0] + chaining.DIFFER, c[k + s][1]) for c, s in ((cells, 1), (new, -1)) if k + s in c]
+            new[k] = max(ways, key=lambda v: v[0])
+        cells = new
+        k = max(cells, key=lambda k: cells[k][0])
+        if cells[k][0] > best[0]:
+            best = (cells[k][0], i + 1, i + 1 + k, cells[k][1])
+        if cells[k][0] <= best[0] - chaining.DROP:
+            live = False
+            break
+    return (*best[1:], live)
+
+
+@pytest.mark.parametrize("wide", [20, 64, 200])
+def test_ends_grow_as_by_plain_alignment(wide):
+    r = np.random.default_rng(13)
+    xs, ys = [], []
+    for _ in range(150):
+        a = r.integers(0, int(r.integers(2, 40)), int(r.integers(0, 120)))
+        b = np.where(r.random(len(a)) < r.choice([0, 0.05, 0.1, 0.3]), -r.integers(1, 9, len(a)) + 60, a)
+        b = np.delete(b, r.integers(0, len(b), int(r.integers(0, 4)))) if len(b) else b
+        xs.append(a.astype("<u4"))
+        ys.append(b.astype("<u4"))
+    got = list(zip(*(x.tolist() for x in chaining.grown(xs, ys, wide)), strict=True))
+    assert got == [plain_grown(a.tolist(), b.tolist(), wide) for a, b in zip(xs, ys, strict=True)]
+
+
+def test_chained_passages_words_in_small_batches(spark, docs, monkeypatch):
+    want = sorted(chaining.passages(docs).collect())
+    monkeypatch.setattr(chaining, "FETCH", 100)
+    assert want and sorted(chaining.passages(docs).collect()) == want
+
+
 def test_chains_skip_gaps_and_keep_order():
     (score, path), *rest = chaining.chains([0, 10, 12, 30], [8, 18, 20, 40], [100, 112, 5, 133])
     assert path == [0, 1, 3] and score == pytest.approx(26 - chaining.GAP * (2 + 4 + 12 + 13)) and [p for _, p in rest] == [[2]]
