@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 from hashlib import blake2b
 
@@ -101,22 +102,35 @@ def highlight(snippet: Column, matches: Column) -> Column:
     return F.when(F.coalesce(F.size(matches), F.lit(0)) > 0, marked).otherwise(safe)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A column of a value that is computed once, however often the body names it: expressions that are named again are computed again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def snippet(content: Column, terms: Column, window: int = 75, plain: int = 150) -> Column:
     """Struct of text and matches: a window around the first term (in query order) that the content holds as a substring."""
-    content = F.coalesce(content, F.lit(""))
-    low = F.lower(content)
-    n = F.length(content)
-    hit = F.get(F.filter(terms, lambda t: F.contains(low, t)), F.lit(0))
-    pos = F.instr(low, hit) - 1
-    begin = F.greatest(F.lit(0), pos - window)
-    stop = F.least(n, pos + F.length(hit) + window)
-    space = F.instr(F.substring(content, begin + 1, n), F.lit(" "))
-    next_space = begin + space - 1
-    begin = F.when((begin > 0) & (space > 0) & (next_space < pos), next_space + 1).otherwise(begin)
-    behind = F.instr(F.substring(content, stop + 1, n), F.lit(" "))
-    stop = F.when((stop < n) & (behind > 0), stop + behind - 1).otherwise(stop)
-    cut = F.regexp_replace(F.substring(content, begin + 1, stop - begin), f"^{SPACES}+|{SPACES}+$", "")
-    around = F.concat(F.when(begin > 0, "...").otherwise(""), cut, F.when(stop < n, "...").otherwise(""))
-    none = F.concat(F.substring(content, 1, plain), F.when(n > plain, "...").otherwise(""))
-    text = F.when(hit.isNull(), none).otherwise(around)
-    return F.struct(text.alias("text"), F.when(hit.isNull(), F.array().cast("array<string>")).otherwise(F.filter(terms, lambda t: F.contains(F.lower(text), t))).alias("matches"))
+    found = lambda low: F.filter(terms, lambda t: F.contains(low, t))
+
+    def cut(c: Column, n: Column, begin: Column, stop: Column) -> Column:
+        inner = F.regexp_replace(F.substring(c, begin + 1, stop - begin), f"^{SPACES}+|{SPACES}+$", "")
+        return F.concat(F.when(begin > 0, "...").otherwise(""), inner, F.when(stop < n, "...").otherwise(""))
+
+    def at_words(c: Column, n: Column, pos: Column, begin: Column, stop: Column) -> Column:
+        """From behind the first space before the term, to the first space behind the window."""
+        ahead, behind = F.instr(F.substring(c, begin + 1, pos - begin), F.lit(" ")), F.instr(F.substring(c, stop + 1, n), F.lit(" "))
+        first, last = let(ahead, lambda k: F.when((begin > 0) & (k > 0), begin + k).otherwise(begin)), let(behind, lambda k: F.when((stop < n) & (k > 0), stop + k - 1).otherwise(stop))
+        return let(F.struct(first.alias("begin"), last.alias("stop")), lambda w: cut(c, n, w["begin"], w["stop"]))
+
+    def around(c: Column, n: Column, hit: Column, pos: Column) -> Column:
+        window_at = F.struct(F.greatest(F.lit(0), pos - window).alias("begin"), F.least(n, pos + F.length(hit) + window).alias("stop"))
+        return let(window_at, lambda w: at_words(c, n, pos, w["begin"], w["stop"]))
+
+    def shown(c: Column, n: Column, low: Column, hit: Column) -> Column:
+        text = let(F.instr(low, hit) - 1, lambda pos: around(c, n, hit, pos))
+        return let(text, lambda t: F.struct(t.alias("text"), let(F.lower(t), found).alias("matches")))
+
+    def of(c: Column, n: Column, low: Column) -> Column:
+        none = F.struct(F.concat(F.substring(c, 1, plain), F.when(n > plain, "...").otherwise("")).alias("text"), F.array().cast("array<string>").alias("matches"))
+        return let(F.get(found(low), F.lit(0)), lambda hit: F.when(hit.isNull(), none).otherwise(shown(c, n, low, hit)))
+
+    return let(F.coalesce(content, F.lit("")), lambda c: let(F.struct(F.length(c).alias("n"), F.lower(c).alias("low")), lambda s: of(c, s["n"], s["low"])))

@@ -52,6 +52,37 @@ def test_snippets(spark):
     assert s.text.startswith("...word") and s.text.endswith("tail...") and s.matches == ["needle"] and "needle" in s.text
 
 
+def plain_snippet(text, terms):
+    low, n = text.lower(), len(text)
+    hit = next((t for t in terms if t in low), None)
+    if hit is None:
+        return text[:150] + ("..." if n > 150 else ""), []
+    pos = low.index(hit)
+    begin, stop = max(0, pos - 75), min(n, pos + len(hit) + 75)
+    space, behind = text.find(" ", begin), text.find(" ", stop)
+    begin = space + 1 if begin > 0 and 0 <= space < pos else begin
+    stop = behind if stop < n and behind >= 0 else stop
+    cut = ("..." if begin > 0 else "") + text[begin:stop].strip() + ("..." if stop < n else "")
+    return cut, [t for t in terms if t in cut.lower()]
+
+
+def test_snippets_like_plain_code(spark):
+    draw = random.Random(7)
+    words = ["needle", "Hay", "é", "straße", "x" * 90, "a", "of", "\n", "\t", ""]
+    texts = [draw.choice([" ", " ", ""]).join(draw.choices(words, k=draw.randrange(120))) for _ in range(200)]
+    terms = ["needle", "hay", "of"]
+    got = column(spark, texts, lambda c: X.snippet(c, F.array(*map(F.lit, terms))))
+    assert [tuple(g) for g in got] == [plain_snippet(t, terms) for t in texts]
+
+
+def test_snippet_computes_its_steps_once(spark):
+    """A step that later ones name again is bound to a variable, not written out again: the text is put in small letters once, the snippet once."""
+    s = X.snippet(F.col("c"), F.array(F.lit("a"), F.lit("b")))
+    rows = spark.createDataFrame([("x a y",)], "c string").select(s.alias("s")).select("s.text", "s.matches")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") <= 2 and plan.count("instr(") <= 3
+
+
 def test_urls(spark):
     norm = column(spark, ["HTTP://Ex.COM/a/?q=1#f", "https://ex.com", "https://ex.com/a//", "http://e.com/x#a?b"], U.normalized)
     assert norm == ["http://ex.com/a?q=1", "https://ex.com/", "https://ex.com/a/", "http://e.com/x"]
