@@ -83,6 +83,14 @@ def test_snippet_computes_its_steps_once(spark):
     assert plan.count("lower(") <= 2 and plan.count("instr(") <= 3
 
 
+def test_rerank_text_reads_a_snippet_once(spark, tmp_path):
+    """Rows whose text is hashed by rerank_text: the snippet within is computed once."""
+    spark.createDataFrame([(1, "Title\nthe heat of it", "src1")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.QUERIES["rerank_text"](spark, str(tmp_path))
+    assert rows.first()["text_hash"] == hashlib.sha256(b"Title\nTitle\nthe heat of it\nTitle\nthe heat of it").hexdigest()
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("instr(") <= 3
+
+
 def test_urls(spark):
     norm = column(spark, ["HTTP://Ex.COM/a/?q=1#f", "https://ex.com", "https://ex.com/a//", "http://e.com/x#a?b"], U.normalized)
     assert norm == ["http://ex.com/a?q=1", "https://ex.com/", "https://ex.com/a/", "http://e.com/x"]
