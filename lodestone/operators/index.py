@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.sources.corpus import listed
 from lodestone.storage import work_path
 
 #: Folders that postings are dealt to by term, and query terms up to which these are named in the scan.
 PARTS, NAMED = 64, 1000
 _POSTINGS = "int_id long, term string, tf long, positions array<int>, doc_len long, part int"
+_INSIDE = "array<struct<term: string, positions: array<int>>>"
 
 
 def tokens(docs: DataFrame, id_col: str = "int_id", text_col: str = "content") -> DataFrame:
@@ -20,14 +22,49 @@ def tokens(docs: DataFrame, id_col: str = "int_id", text_col: str = "content") -
     return docs.select(F.col(id_col).alias("int_id"), F.coalesce(X.tokenize(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
 
 
-def postings(toks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(int_id, term, tf, positions, doc_len); with terms only theirs, so that other tokens are never shuffled."""
+def _inside(tokens: Column) -> Column:
+    """Array of (term, positions) of one document, by term: its tokens are sorted with their places and cut where the term changes."""
+
+    def cut_at(s: Column, starts: Column) -> Column:
+        stop = lambda k: F.coalesce(F.get(starts, k + 1), F.size(s))
+        held = lambda i, k: F.transform(F.slice(s, i + 1, stop(k) - i), lambda x: x["pos"])
+        return F.transform(starts, lambda i, k: F.struct(F.get(s, i)["term"].alias("term"), held(i, k).alias("positions")))
+
+    placed = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    changed = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["term"] != F.get(s, i - 1)["term"]), i)), lambda i: i.isNotNull())
+    return X.let(placed, lambda s: X.let(changed(s), lambda starts: cut_at(s, starts)))
+
+
+def _grouped(toks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     rows = toks.select("int_id", F.size("tokens").cast("long").alias("doc_len"), F.posexplode("tokens").alias("pos", "term"))
     if terms is not None:
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("int_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("doc_len").alias("doc_len"))
 
 
+def postings(toks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(int_id, term, tf, positions, doc_len); with terms only theirs, so that other tokens are never shuffled.
+
+    Without terms the postings of a row are made within the row, and only ids that several rows have are put together by a shuffle.
+    """
+    return _grouped(toks, terms) if terms is not None else _whole(toks, F.array().cast(_INSIDE))
+
+
+def _whole(toks: DataFrame, more: Column) -> DataFrame:
+    """All postings, and ``more`` (term, positions) of each row."""
+    own = lambda df, held: df.select("int_id", F.size("tokens").cast("long").alias("doc_len"), F.explode(held).alias("p")).select(
+        "int_id", "p.term", F.size("p.positions").cast("long").alias("tf"), "p.positions", "doc_len"
+    )
+    all_of = F.concat(more, _inside(F.col("tokens")))
+    several = toks.groupBy("int_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("int_id").alias("several"))
+    if several.isEmpty():
+        return own(toks, all_of)
+    several = listed(several)
+    same = F.col("int_id").eqNullSafe(F.col("several"))
+    met = toks.join(several, same, "left_semi")
+    return own(toks.join(several, same, "left_anti"), all_of).unionByName(_grouped(met)).unionByName(own(met, more))
+
+
 def doc_stats(toks: DataFrame) -> DataFrame:
     return toks.select("int_id", F.size("tokens").cast("long").alias("doc_len"))
 
@@ -100,16 +137,16 @@ class Stored:
 
 
 def build(docs: DataFrame, folder: str | None = None) -> Stored:
-    """Build and write the index of documents (int_id, content); texts are tokenised once."""
+    """Build and write the index of documents (int_id, content): texts are tokenised once and postings shuffled once, to their folders."""
     spark = docs.sparkSession
     folder = folder or work_path(spark, "index")
-    toks = tokens(docs)
-    rows = toks.select("int_id", F.size("tokens").cast("long").alias("doc_len"), F.posexplode_outer("tokens").alias("pos", "term"))
-    grouped = rows.groupBy("int_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("doc_len").alias("doc_len"))
+    # a row without a term stands for the document itself
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.array().cast("array<int>").alias("positions")))
+    rows = _whole(tokens(docs), itself).drop("tf").withColumn("part", F.when(F.col("term").isNull(), -1).otherwise(_part(F.col("term"))))
     # a folder whose terms are frequent is written by several tasks
-    dealt = grouped.withColumn("part", F.coalesce(_part(F.col("term")), F.lit(-1))).hint("rebalance", "part").sortWithinPartitions("part", "term", "int_id")
-    dealt.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings")
-    written = spark.read.schema(_POSTINGS).parquet(f"{folder}/postings")
+    dealt = rows.hint("rebalance", "part").select("int_id", "term", F.size("positions").cast("long").alias("tf"), "positions", "doc_len", "part")
+    dealt.sortWithinPartitions("part", "term", "int_id").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings")
+    written = spark.read.schema(_POSTINGS).parquet(f"{folder}/postings").filter("part = -1")
     written.groupBy("int_id").agg(F.first("doc_len").alias("doc_len")).write.mode("overwrite").parquet(f"{folder}/docs")
     total, n = F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long"), F.count("*")
     made = Stored(spark, folder)

@@ -91,6 +91,20 @@ def test_rerank_text_reads_a_snippet_once(spark, tmp_path):
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("instr(") <= 3
 
 
+def test_postings_are_made_within_rows(spark):
+    """Only ids of several rows meet in a shuffle; rows without an id count as rows of one."""
+    texts = [(1, "b a b c.d"), (2, ""), (3, "a"), (4, None)]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    alone = index.postings(index.tokens(spark.createDataFrame(texts, "int_id long, content string")))
+    assert "Aggregate" not in plan(alone) and "Join" not in plan(alone)
+    again = [*texts, (3, "x a a"), (None, "y z"), (None, "y")]
+    docs = spark.createDataFrame(again, "int_id long, content string")
+    got = {(r.int_id, r.term): (r.tf, sorted(r.positions)) for r in index.postings(index.tokens(docs)).collect()}
+    assert got == {
+        (1, "a"): (1, [1]), (1, "b"): (2, [0, 2]), (1, "c.d"): (1, [3]), (3, "a"): (3, [0, 1, 2]), (3, "x"): (1, [0]), (None, "y"): (2, [0, 0]), (None, "z"): (1, [1]),
+    }
+
+
 def test_urls(spark):
     norm = column(spark, ["HTTP://Ex.COM/a/?q=1#f", "https://ex.com", "https://ex.com/a//", "http://e.com/x#a?b"], U.normalized)
     assert norm == ["http://ex.com/a?q=1", "https://ex.com/", "https://ex.com/a/", "http://e.com/x"]
