@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from lodestone.batches import give_back
 from lodestone.operators.lexical import top_k
 from lodestone.sources.corpus import listed
 
@@ -53,22 +54,24 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, visible: DataFrame | Non
 
 def embedder(load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]], dim: int = DIM, batch: int = 32) -> Callable[[Column], Column]:
     """A column function of a text model that takes lists of up to ``batch`` texts. ``load`` runs once in a task; null texts count as empty.
+    Only ``batch`` texts at a time are Python objects, and vectors stay numbers of an array.
 
     Vectors are brought to length one; a model that gives vectors of another length than ``dim`` raises.
     """
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
         for texts in parts:
-            out: list[list[float]] = []
-            held = ["" if t is None else t for t in texts]
-            for at in range(0, len(held), batch):
-                v = np.asarray(model(held[at : at + batch]), np.float64).reshape(-1, dim)
-                if len(v) != len(held[at : at + batch]):
-                    raise ValueError(f"the model gave {len(v)} vectors of {dim} for {len(held[at : at + batch])} texts")
-                out += (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).tolist()
-            yield pd.Series(out, dtype=object)
+            out = np.empty((len(texts), dim))
+            for at in range(0, len(texts), batch):
+                held = ["" if t is None else t for t in texts.slice(at, batch).to_pylist()]
+                v = np.asarray(model(held), np.float64).reshape(-1, dim)
+                if len(v) != len(held):
+                    raise ValueError(f"the model gave {len(v)} vectors of {dim} for {len(held)} texts")
+                out[at : at + batch] = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+            yield pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * dim, out.reshape(-1))
+            give_back()
 
     return run
 

@@ -408,7 +408,8 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = live(spark, sf_dir).select("int_id", dense.hash_embedding("content").alias("v"))
-    return v.select("int_id", F.posexplode("v").alias("i", "x")).filter("x <> 0").select("int_id", F.col("i").cast("long").alias("i"), six("x"))
+    # outer: else Spark filters by the vectors' size first, for which the model would run a second time
+    return v.select("int_id", F.posexplode_outer("v").alias("i", "x")).filter("x <> 0").select("int_id", F.col("i").cast("long").alias("i"), six("x"))
 
 
 @query

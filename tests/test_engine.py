@@ -105,6 +105,38 @@ def test_postings_are_made_within_rows(spark):
     }
 
 
+def test_hash_embed_runs_its_model_once(spark, tmp_path):
+    """One Python step a text; it gets a few texts at a time as Python objects, whatever the batch."""
+    texts = [(i, "w%d x w%d" % (i, i)) for i in range(1, 90)] + [(98, None), (99, "")]
+    spark.createDataFrame([(i, t, "src1") for i, t in texts], "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.QUERIES["hash_embed"](spark, str(tmp_path))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    sums = {r.int_id: r.s for r in rows.groupBy("int_id").agg(F.round(F.sum(F.col("x") * F.col("x")), 4).alias("s")).collect()}
+    assert sums == {i: 1.0 for i in range(1, 90)}
+
+    def load():
+        def model(held):
+            if len(held) > 32:
+                raise ValueError("too many at a time")
+            return [[float(len(t))] * 3 for t in held]
+
+        return model
+
+    long = spark.range(100, numPartitions=1).select(dense.embedder(load, dim=3)(F.col("id").cast("string")).alias("v"))
+    assert {tuple(round(x, 6) for x in r.v) for r in long.collect()} == {(0.57735,) * 3}
+
+
+def test_html_steps_hold_few_pages(spark):
+    """Pages of a batch are not all Python objects at once; numbers of pages stay whole beside missing ones."""
+    big = 2**62 + 1
+    pages = [(i, "http://e.com/", "<title>T%d</title><body>x <a href='/a%d'>y</a></body>" % (i, i)) for i in range(150)] + [(big, "http://e.com/", None), (None, "http://e.com/", "<a href='b'>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: (r.title, r.content) for r in html.extracted(df, html.DOCS).collect()}
+    assert got == {i: (f"T{i}", "x y") for i in range(150)} | {big: ("", ""), None: ("", "")}
+    assert {(r.page_id, r.link) for r in html.links(df).collect()} == {(i, f"http://e.com/a{i}") for i in range(150)} | {(None, "http://e.com/b")}
+    assert {r.page_id for r in html.canonical(df).collect()} == set(got)
+
+
 def test_urls(spark):
     norm = column(spark, ["HTTP://Ex.COM/a/?q=1#f", "https://ex.com", "https://ex.com/a//", "http://e.com/x#a?b"], U.normalized)
     assert norm == ["http://ex.com/a?q=1", "https://ex.com/", "https://ex.com/a/", "http://e.com/x"]
