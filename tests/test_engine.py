@@ -137,6 +137,16 @@ def test_html_steps_hold_few_pages(spark):
     assert {r.page_id for r in html.canonical(df).collect()} == set(got)
 
 
+def test_index_lists_documents_by_rows_of_their_own(spark, tmp_path):
+    """Documents and lengths come from one row each, not from all postings; ids of several rows are one document."""
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "c"), (4, "d")], "int_id long, content string")
+    built = index.build(docs, str(tmp_path / "i"))
+    own = spark.read.parquet(str(tmp_path / "i" / "postings" / "part=-1"))
+    assert sorted((r.int_id, r.doc_len) for r in own.collect()) == [(1, 3), (2, 0), (3, 0), (4, 1), (4, 1)]
+    assert sorted(map(tuple, built.docs.collect())) == [(1, 3), (2, 0), (3, 0), (4, 1)]
+    assert sorted((r.int_id, r.term, r.tf) for r in built.postings.collect()) == [(1, "a", 2), (1, "b", 1), (4, "c", 1), (4, "d", 1)]
+
+
 def test_urls(spark):
     norm = column(spark, ["HTTP://Ex.COM/a/?q=1#f", "https://ex.com", "https://ex.com/a//", "http://e.com/x#a?b"], U.normalized)
     assert norm == ["http://ex.com/a?q=1", "https://ex.com/", "https://ex.com/a/", "http://e.com/x"]
